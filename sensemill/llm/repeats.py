@@ -1,0 +1,228 @@
+"""Shared machinery of the two exact substring operators: winnowed anchors, segments, windows.
+
+A text is a sequence of units (words or bytes); a window is ``window`` consecutive
+units of one text.  Every window has an anchor: the leftmost of the smallest
+fingerprints of ``seed`` units in it.  Equal windows have equal anchors at equal
+offsets, so windows need to be compared only where an anchor is shared.  A segment is
+a maximal run of windows with one anchor occurrence; equal segments are settled by one
+fingerprint, and only differing segments of a shared anchor are compared window by
+window.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import kernel as K
+from .shared import Workspace, fields
+
+#: (buffer, offsets) -> unit values and where each text's units begin.
+Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+SEGMENTS = fields(doc_id="long", version="long", first="int", last="int", gap="int", anchor="long", c1="long", c2="long")
+BLOCKS = fields(doc_id="long", version="long", first="int", last="int", gap="int", weight="long", anchor="long", c1="long", c2="long")
+WINDOWS = fields(doc_id="long", version="long", at="int", weight="long", h1="long", h2="long")
+#: Low bits of an anchor key that hold its place in the run of texts.
+PLACE_BITS = 31
+
+
+def byte_units(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return K.BYTE_VALUE[buf], off
+
+
+def word_units(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    start, end, cuts = K.word_spans(buf, off)
+    return K.word_values(buf, start, end), cuts
+
+
+def segments(x: np.ndarray, cuts: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, ...]:
+    """Text, first and last window (in units of the text), way to the anchor, anchor and content fingerprints of all segments."""
+    n = len(x)
+    none = np.empty(0, np.int64)
+    if n < window:
+        return none, none, none, none, *[none.astype(np.uint64)] * 3
+    one = K.Rolling(x, 0)
+    gram = one.every(seed)
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    key = K.sliding_min((gram & ~low) | np.arange(len(gram), dtype=np.uint64), window - seed + 1)
+    size = np.diff(cuts)
+    begin, stop = cuts[:-1][size >= window], cuts[1:][size >= window] - window + 1
+    change = np.ones(len(key) + 1, bool)
+    change[1:-1] = key[1:] != key[:-1]
+    change[begin] = True
+    change[stop] = True
+    edges = np.flatnonzero(change)
+    first, after = edges[:-1], edges[1:]
+    text = np.searchsorted(begin, first, side="right") - 1
+    inside = (text >= 0) & (first < stop[np.maximum(text, 0)]) if len(begin) else np.zeros(len(first), bool)
+    first, after, text = first[inside], after[inside], np.flatnonzero(size >= window)[text[inside]]
+    place = (key[first] & low).astype(np.int64)
+    end = after - 1 + window
+    return text, first - cuts[text], after - 1 - cuts[text], place - first, gram[place], one.of(first, end), K.Rolling(x, 1).of(first, end)
+
+
+def _version(df: DataFrame) -> DataFrame:
+    """A fingerprint of each text beside its id: rows are told apart by both, and equal rows have equal results."""
+    return df.withColumn("version", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+
+
+def scan_segments(docs: DataFrame, units: Units, window: int, seed: int) -> DataFrame:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, _j, buf, off in K.runs(batch.column(1)):
+                text, *places, anchor, c1, c2 = segments(*units(buf, off), window, seed)
+                if len(text):
+                    rows = pa.array(text + i)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(rows), batch.column(2).take(rows), *(pa.array(p.astype(np.int32)) for p in places), *(pa.array(K.as_signed(p)) for p in (anchor, c1, c2))], names=SEGMENTS.names
+                    )
+
+    return docs.select("doc_id", "text", "version").mapInArrow(scan, SEGMENTS)
+
+
+def settle(work: Workspace, shared: DataFrame, other_text: bool) -> DataFrame:
+    """For each segment of a shared anchor: is it settled as a repeat, must its windows be compared?
+
+    ``shared`` has the segments and ``several`` (do segments of the anchor differ?).
+    The first segment of each kind stands for all of its kind.  With ``other_text``
+    a segment is a repeat if an equal one is in a text of smaller id, else if an
+    equal one is anywhere.
+    """
+    order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.col("version").alias("v"), F.col("first").alias("f"))
+    n = F.sum("weight") if "weight" in shared.columns else F.count("*")
+    kinds = shared.groupBy("anchor", "c1", "c2").agg(n.alias("n"), F.min(order).alias("lead"))
+    kinds = work.keep(kinds, f"kinds-{uuid.uuid4().hex}")
+    joined = shared.join(kinds, ["anchor", "c1", "c2"])
+    mine = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.col("version").alias("v"), F.col("first").alias("f"))
+    full = (F.col("lead.d") < mine["d"]) if other_text else (F.col("n") > 1)
+    weight = F.when(F.col("several") & (F.col("lead") == mine), F.col("n")).otherwise(F.lit(0))
+    return joined.select("doc_id", "version", "first", "last", "gap", full.alias("full"), weight.alias("weight")).where("full or weight > 0")
+
+
+def shared_segments(work: Workspace, table: DataFrame) -> DataFrame:
+    """The segments whose anchor stands twice or more; ``several`` tells if their contents differ."""
+    anchors = table.groupBy("anchor").agg(F.count("*").alias("n"), F.min("c1").alias("least"), F.max("c1").alias("most"), F.min("c2").alias("least2"), F.max("c2").alias("most2"))
+    anchors = work.keep(anchors.where("n > 1").select("anchor", ((F.col("least") < F.col("most")) | (F.col("least2") < F.col("most2"))).alias("several")), f"anchors-{uuid.uuid4().hex}")
+    return table.join(anchors, "anchor")
+
+
+def _weighted(segments: pa.Array, i: int, j: int) -> Iterator[tuple[int, dict]]:
+    """(row, segment) of those to be compared further."""
+    for r in range(i, j):
+        for s in segments[r].as_py():
+            if s["weight"]:
+                yield r, s
+
+
+def scan_blocks(pending: DataFrame, units: Units, window: int, block: int) -> DataFrame:
+    """Segments cut where the way to the anchor is a multiple of ``block``.
+
+    What all windows of a whole block have in common is the block's anchor.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, buf, off in K.runs(batch.column(1)):
+                parts = []
+                for r, s in _weighted(batch.column(3), i, j):
+                    place = s["first"] + s["gap"]
+                    least = place - s["last"]
+                    b = np.arange(least // block, s["gap"] // block + 1)
+                    far, near = np.minimum(b * block + block - 1, s["gap"]), np.maximum(b * block, least)
+                    parts.append((np.full(len(b), r), place - far, place - near, far, np.full(len(b), s["weight"]), place - b * block))
+                if not parts:
+                    continue
+                row, first, last, gap, weight, core = (np.concatenate(p) for p in zip(*parts, strict=True))
+                x, cuts = units(buf, off)
+                one, two = K.Rolling(x, 0), K.Rolling(x, 1)
+                base = cuts[row - i]
+                rows = pa.array(row)
+                prints = one.of(base + core, base + core - block + 1 + window), one.of(base + first, base + last + window), two.of(base + first, base + last + window)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(rows), batch.column(2).take(rows), *(pa.array(p.astype(np.int32)) for p in (first, last, gap)), pa.array(weight), *(pa.array(K.as_signed(p)) for p in prints)], names=BLOCKS.names
+                )
+
+    return pending.select("doc_id", "text", "version", "segments").mapInArrow(scan, BLOCKS)
+
+
+def scan_windows(pending: DataFrame, units: Units, window: int) -> DataFrame:
+    """The windows of segments with a weight, with two fingerprints each."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, buf, off in K.runs(batch.column(1)):
+                parts = []
+                for r, s in _weighted(batch.column(3), i, j):
+                    span = np.arange(s["first"], s["last"] + 1)
+                    parts.append((np.full(len(span), r), span, np.full(len(span), s["weight"])))
+                if not parts:
+                    continue
+                row, at, weight = (np.concatenate(p) for p in zip(*parts, strict=True))
+                x, cuts = units(buf, off)
+                place = cuts[row - i] + at
+                rows = pa.array(row)
+                prints = [K.Rolling(x, w).of(place, place + window) for w in (0, 1)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(rows), batch.column(2).take(rows), pa.array(at.astype(np.int32)), pa.array(weight), *(pa.array(K.as_signed(p)) for p in prints)], names=WINDOWS.names
+                )
+
+    return pending.select("doc_id", "text", "version", "segments").mapInArrow(scan, WINDOWS)
+
+
+def _meet(texts: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+    """Texts joined with what belongs to them; the texts move once, the lists are the built side."""
+    lists = lists.withColumnRenamed("doc_id", "d").withColumnRenamed("version", "v")
+    return texts.join(lists.hint("shuffle_hash"), (texts["version"] == F.col("v")) & texts["doc_id"].eqNullSafe(F.col("d")), how).drop("d", "v")
+
+
+def _listed(settled: DataFrame) -> DataFrame:
+    return settled.groupBy("doc_id", "version").agg(F.collect_list(F.struct("first", "last", "gap", "full", "weight")).alias("segments"))
+
+
+def find_repeats(work: Workspace, docs: DataFrame, settled: DataFrame, units: Units, window: int, other_text: bool, block: int | None = None) -> DataFrame:
+    """doc_id, text, and ``hits``: first and last windows of runs that repeat.
+
+    Texts move once, to meet their segments; those that need comparing once more.
+    """
+    met = work.keep(_meet(docs, _listed(settled), "left"), "met")
+    pending = met.where("exists(segments, s -> s.weight > 0)")
+    later = None
+    if block:
+        parts = work.keep(scan_blocks(pending, units, window, block), "blocks")
+        finer = work.keep(settle(work, work.keep(shared_segments(work, parts), "shared-blocks"), other_text), "settled-blocks")
+        later = finer.where("full").select("doc_id", "version", "first", "last")
+        pending = _meet(pending.drop("segments"), _listed(finer.where("weight > 0")), "inner")
+    windows = work.keep(scan_windows(pending, units, window), "windows")
+    if other_text:
+        own = F.coalesce("doc_id", F.lit(2**63 - 1))
+        firsts = windows.groupBy("h1", "h2").agg(F.min(own).alias("lead"), F.max(own).alias("rest")).where("lead < rest").select("h1", "h2", "lead")
+        repeated = windows.join(work.keep(firsts, "firsts"), ["h1", "h2"]).where(own > F.col("lead"))
+    else:
+        twice = windows.groupBy("h1", "h2").agg(F.sum("weight").alias("n")).where("n > 1").select("h1", "h2")
+        repeated = windows.join(work.keep(twice, "twice"), ["h1", "h2"])
+    single = repeated.select("doc_id", "version", F.col("at").alias("first"), F.col("at").alias("last"))
+    later = single if later is None else later.unionByName(single)
+    later = work.keep(later.groupBy("doc_id", "version").agg(F.collect_set(F.struct("first", "last")).alias("later")), "later")
+    none = F.array().cast("array<struct<first:int,last:int>>")
+    full = F.expr("transform(filter(segments, s -> s.full), s -> struct(s.first, s.last))")
+    found = _meet(met.where("exists(segments, s -> s.weight > 0)"), later, "left").select("doc_id", "text", F.concat(full, F.coalesce("later", none)).alias("hits"))
+    rest = met.where("segments is null or not exists(segments, s -> s.weight > 0)").select("doc_id", "text", F.coalesce(full, none).alias("hits"))
+    return found.unionByName(rest)
+
+
+def covered_units(hits: pa.Array, cuts: np.ndarray, n: int, window: int) -> np.ndarray:
+    """Which of n units the hits of consecutive texts cover."""
+    spans = hits.flatten()
+    counts = np.diff(hits.offsets.to_numpy())
+    base = np.repeat(cuts[:-1], counts)
+    first, last = (spans.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+    delta = np.zeros(n + 1, np.int64)
+    np.add.at(delta, base + first, 1)
+    np.add.at(delta, base + last + window, -1)
+    return np.cumsum(delta[:n]) > 0
