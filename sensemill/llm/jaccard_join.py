@@ -17,13 +17,16 @@ SHINGLE = 3
 #: Two sets link when their Jaccard similarity is PERCENT / 100 or more.
 PERCENT = 90
 #: Cells of the frequency sketch that orders shingles: bounded, whatever the corpus.
-SKETCH_BITS = 16
+SKETCH_BITS = 18
+#: One shingle in so many is ranked by frequency and comes before all others; a prefix rarely needs more.
+RANKED = 4
 BITMAP = 1024
 #: Documents of one block of a token; a larger token's documents are compared block by block.
 BLOCK = 2048
 
 SETS = fields(doc_id="long", version="long", n="int", f1="long", f2="long", prefix="array<long>", bitmap="binary")
-PAIRS = fields(u="long", v="long")
+PAIRS = fields(u="long", v="long", d="int")
+EDGES = fields(u="long", v="long")
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, shingle: int) -> Iterator[np.ndarray]:
@@ -44,21 +47,34 @@ def _cell(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def _ranked(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(RANKED - 1)) == 0
+
+
+def prefix_of(s: np.ndarray, rarity: np.ndarray, p: int) -> np.ndarray:
+    """The first p shingles of a set in the global order: ranked ones by frequency, then the rest, ties by value."""
+    first = _ranked(s)
+    ranked = s[first]
+    ranked = ranked[np.lexsort((ranked, rarity[_cell(ranked)]))]
+    return ranked[:p] if len(ranked) >= p else np.concatenate([ranked, s[~first][: p - len(ranked)]])
+
+
 def frequency_sketch(docs: DataFrame, shingle: int) -> np.ndarray:
-    """How many documents' shingles fall into each cell; 2**SKETCH_BITS numbers reach the driver."""
+    """How many documents' ranked shingles fall into each cell; 2**SKETCH_BITS numbers reach the driver."""
     schema = fields(cell="int", n="long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             for *_, buf, off in K.runs(batch.column(1)):
-                total += np.bincount(_cell(np.concatenate([*shingle_sets(buf, off, shingle)])), minlength=len(total))
+                every = np.concatenate([*shingle_sets(buf, off, shingle)])
+                np.add.at(total, _cell(every[_ranked(every)]), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=schema.names)
 
+    got = docs.select("doc_id", "text").mapInArrow(count, schema).groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << SKETCH_BITS, np.int64)
-    for row in docs.select("doc_id", "text").mapInArrow(count, schema).groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        out[row.cell] = row.n
+    out[got["cell"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
@@ -77,8 +93,7 @@ def _describe(spark: SparkSession, docs: DataFrame, sketch: np.ndarray, shingle:
                 size, f1, f2, prefixes, bitmaps = [], [], [], [], []
                 for s in shingle_sets(buf, off, shingle):
                     p = prefix_length(len(s), percent) if len(s) else 0
-                    order = np.lexsort((s, rarity[_cell(s)]))[:p]
-                    prefixes.append(s[order])
+                    prefixes.append(prefix_of(s, rarity, p))
                     size.append(len(s))
                     f1.append(int(K.mix(s).sum()) if len(s) else 0)
                     f2.append(int(K.mix(s ^ np.uint64(K.BASE[1])).sum()) if len(s) else 0)
@@ -188,7 +203,11 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray |
 
 def _pairs(percent: int, forest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        us, vs, held = [], [], 0
+        parts, held = [], 0
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in zip(*parts, strict=True)], names=PAIRS.names)
+
         for cell in _cells(batches):
             node, n, pos, group, block, comp = (cell[k].to_numpy() for k in ("node", "n", "pos", "grp", "block", "comp"))
             if not forest and (comp == comp[0]).all():
@@ -198,16 +217,15 @@ def _pairs(percent: int, forest: bool):
             i, j, d = _passing(n.astype(np.int64), pos.astype(np.int64), group, bits, block, cross, None if forest else comp, percent)
             if forest and len(i):
                 k = spanning_pairs(len(node), i, j, d)
-                i, j = i[k], j[k]
+                i, j, d = i[k], j[k], d[k]
             if len(i):
-                us.append(np.minimum(node[i], node[j]))
-                vs.append(np.maximum(node[i], node[j]))
+                parts.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), d.astype(np.int32)))
                 held += len(i)
                 if held > 1 << 18:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=PAIRS.names)
-                    us, vs, held = [], [], 0
-        if us:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=PAIRS.names)
+                    yield flush()
+                    parts, held = [], 0
+        if parts:
+            yield flush()
 
     return run
 
@@ -223,7 +241,7 @@ def _candidates(hits: DataFrame, kinds: DataFrame, percent: int, forest: bool) -
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"one": F.least("block", F.col("other").cast("int")), "two": F.greatest("block", F.col("other").cast("int"))}).drop("other", "blocks")
     rows = rows.repartition("token", "one", "two").sortWithinPartitions("token", "one", "two", "n", "grp", "node")
-    return rows.mapInArrow(_pairs(percent, forest), PAIRS).distinct()
+    return rows.mapInArrow(_pairs(percent, forest), PAIRS).groupBy("u", "v").agg(F.min("d").alias("d"))
 
 
 def _verified(work: Workspace, docs: DataFrame, kinds: DataFrame, pairs: DataFrame, shingle: int, percent: int, name: str) -> DataFrame:
@@ -242,14 +260,57 @@ def _verified(work: Workspace, docs: DataFrame, kinds: DataFrame, pairs: DataFra
                 x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (a, b))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))  # u, v
 
     needed = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     needed = work.keep(needed.join(kinds.select("node", "lead"), "node").select("node", F.col("lead.d").alias("d"), F.col("lead.v").alias("v")), f"{name}-needed")
     texts = docs.join(needed.hint("shuffle_hash"), (docs["version"] == needed["v"]) & (F.coalesce(docs["doc_id"], F.lit(2**63 - 1)) == needed["d"])).select("node", "text")
     members = work.keep(texts.mapInArrow(sets, schema).dropDuplicates(["node"]), f"{name}-members")
     met = pairs.join(members.select(F.col("node").alias("u"), F.col("members").alias("a")), "u").join(members.select(F.col("node").alias("v"), F.col("members").alias("b")), "v")
-    return work.keep(met.select("u", "v", "a", "b").mapInArrow(check, PAIRS), f"{name}-edges")
+    return work.keep(met.select("u", "v", "a", "b").mapInArrow(check, EDGES), f"{name}-edges")
+
+
+class Links:
+    """Verified links so far and the components they make."""
+
+    def __init__(self, work: Workspace, docs: DataFrame, kinds: DataFrame, shingle: int, percent: int):
+        self.work, self.docs, self.kinds, self.shingle, self.percent = work, docs, kinds, shingle, percent
+        self.steps = 0
+        self.edges: DataFrame | None = None
+        self.tried: DataFrame | None = None
+        self.roots = kinds.select("node", F.col("node").alias("root")).limit(0)
+
+    def _apart(self, pairs: DataFrame) -> DataFrame:
+        """Pairs not tried whose ends are in different components yet, with these."""
+        if self.tried is None:
+            return pairs.withColumns({"a": F.col("u"), "b": F.col("v")})
+        pairs = pairs.join(self.tried, ["u", "v"], "left_anti")
+        for end, name in (("u", "a"), ("v", "b")):
+            roots = self.roots.select(F.col("node").alias(end), F.col("root").alias(name))
+            pairs = pairs.join(roots, end, "left").withColumn(name, F.coalesce(name, end))
+        return pairs.where("a <> b")
+
+    def try_pairs(self, pairs: DataFrame, rounds: int) -> None:
+        """Verify pairs until no untried one joins two components.
+
+        In the first rounds each component tries its nearest partner only: most others
+        are then inside a component and need no look.
+        """
+        for r in range(rounds + 1):
+            rest = self.work.keep(self._apart(pairs), f"apart-{self.steps}")
+            if rest.isEmpty():
+                return
+            if r < rounds:
+                ends = rest.select(F.col("a").alias("c"), "u", "v", "d").unionByName(rest.select(F.col("b").alias("c"), "u", "v", "d"))
+                chosen = ends.groupBy("c").agg(F.min(F.struct("d", "u", "v")).alias("p")).select("p.u", "p.v").distinct()
+            else:
+                chosen = rest.select("u", "v")
+            chosen = self.work.keep(chosen, f"chosen-{self.steps}")
+            edges = _verified(self.work, self.docs, self.kinds, chosen, self.shingle, self.percent, f"step-{self.steps}")
+            self.edges = edges if self.edges is None else self.edges.unionByName(edges)
+            self.tried = chosen if self.tried is None else self.tried.unionByName(chosen)
+            self.roots = self.work.keep(components(self.work, self.edges, f"components-{self.steps}"), f"roots-{self.steps}")
+            self.steps += 1
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -263,9 +324,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     rarest shingles that similar sets must share one; the order comes from a sketch
     of bounded size.  For each shared token, kinds of equal prefix and size form a
     group; pairs of groups are filtered by size and position and expanded to
-    members.  Of the pairs that pass, a spanning forest is verified first, then all
-    pairs between components that are still apart, so no link is lost and no group
-    is written out pair by pair.
+    members.  Of the pairs that pass, spanning forests are verified first, nearest
+    partners before others, then all pairs between components that are still apart,
+    so no link is lost and no group is written out pair by pair.
 
     Returns doc_id, version, n_shingles, component_id (smallest id reachable).  Null
     texts are empty; null ids count as larger than all others (a component of such
@@ -282,17 +343,14 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     tokens = kinds.select("node", F.posexplode("prefix").alias("pos", "token"))
     common = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     hits = work.keep(tokens.join(work.keep(common, "common"), "token"), "hits")
-    first = work.keep(_candidates(hits.withColumn("comp", F.col("node")), kinds, percent, True), "pairs-1")
-    edges = _verified(work, read, kinds, first, shingle, percent, "round-1")
-    roots = work.keep(components(work, edges, "components-1"), "roots-1")
+    links = Links(work, read, kinds, shingle, percent)
+    links.try_pairs(work.keep(_candidates(hits.withColumn("comp", F.col("node")), kinds, percent, True), "pairs-1"), 1)
 
-    placed = hits.join(roots, "node", "left").select("node", "token", "pos", "blocks", F.coalesce("root", "node").alias("comp"))
+    placed = hits.join(links.roots, "node", "left").select("node", "token", "pos", "blocks", F.coalesce("root", "node").alias("comp"))
     split = placed.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("token")
     placed = placed.join(work.keep(split, "split"), "token")
-    second = work.keep(_candidates(placed, kinds, percent, False).join(first, ["u", "v"], "left_anti"), "pairs-2")
-    if not second.isEmpty():
-        edges = edges.unionByName(_verified(work, read, kinds, second, shingle, percent, "round-2"))
-        roots = work.keep(components(work, edges, "components-2"), "roots-2")
+    links.try_pairs(work.keep(_candidates(placed, kinds, percent, False), "pairs-2"), 0)
+    roots = links.roots
 
     named = kinds.select("node", F.col("lead.d").alias("d")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("d").alias("least"))
