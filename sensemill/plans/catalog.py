@@ -667,9 +667,9 @@ def _cdf(spark, d):
     return D.cumulative(D.mismatch_weights(_mismatch(spark, d), members(spark, d)), KEYS)
 
 
-@query(f"SELECT cluster_id, term_a, alt_a, term_b, alt_b, weight, rank, round(cdf, 4) AS cdf FROM {CDF_SQL}")
+@query(f"SELECT * FROM {CDF_SQL}")
 def mismatch_cdf(spark, d):
-    return _cdf(spark, d).withColumn("cdf", F.round("cdf", 4))
+    return _cdf(spark, d)
 
 
 @query(f"SELECT {', '.join(KEYS)}, weight, round(weight / sum(weight) OVER (), 6) AS share FROM {CDF_SQL} WHERE cdf > 0.5 AND cdf <= 0.9")
