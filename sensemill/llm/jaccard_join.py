@@ -309,7 +309,7 @@ class Links:
             edges = _verified(self.work, self.docs, self.kinds, chosen, self.shingle, self.percent, f"step-{self.steps}")
             self.edges = edges if self.edges is None else self.edges.unionByName(edges)
             self.tried = chosen if self.tried is None else self.tried.unionByName(chosen)
-            self.roots = self.work.keep(components(self.work, self.edges, f"components-{self.steps}"), f"roots-{self.steps}")
+            self.roots = components(self.work, self.edges, f"components-{self.steps}")
             self.steps += 1
 
 
