@@ -96,8 +96,11 @@ _SPELLED_TOKEN = re.compile(rf"(?i)(?:plus|{_WORD}|dot|point|[0-9])\b")
 _BRACKET_AT = re.compile(r"(?i)\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*")
 _BRACKETED = re.compile(r"[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]")
 _BRACKET_DOT = re.compile(r"(?i)\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*")
-#: Bare words count only together: "name at host dot tld".
-_BARE = re.compile(r"(?i)[a-z0-9_%+-]+(?:(?:\s+dot\s+|\.)[a-z0-9_%+-]+)*(?:\s+at\s+|@)[a-z0-9-]+(?:(?:\s+dot\s+|\.)[a-z0-9-]+)*\s+dot\s+[a-z0-9-]+(?:(?:\s+dot\s+|\.)[a-z0-9-]+)*")
+# Last labels that an address spelled in bare words may end with.
+BARE_ENDS = ("com", "org", "net", "edu", "gov", "info", "biz", "io", "co", "eu", "uk", "de", "fr", "es", "it", "nl", "us", "ca", "au", "jp", "ru", "ch", "at", "be", "se")
+
+#: Bare words count only together and before a known last label: "name at host dot com".
+_BARE = re.compile(rf"(?i)[a-z0-9_%+-]+(?:(?:\s+dot\s+|\.)[a-z0-9_%+-]+)*(?:\s+at\s+|@)[a-z0-9-]+(?:(?:\s+dot\s+|\.)[a-z0-9-]+)*?\s+dot\s+(?:{'|'.join(BARE_ENDS)})\b(?:(?:\s+dot\s+|\.)(?:{'|'.join(BARE_ENDS)})\b)?")
 _BARE_TOKEN = re.compile(r"(?i)\s+(at|dot)\s+")
 
 
