@@ -21,6 +21,9 @@ SKETCH_BITS = 18
 #: One shingle in so many is ranked by frequency and comes before all others; a prefix rarely needs more.
 RANKED = 4
 BITMAP = 1024
+#: A row with more partners than this narrows them by the bitmap's first words before it looks at whole bitmaps.
+MANY = 64
+HEAD_WORDS = 4
 #: Documents of one block of a token; a larger token's documents are compared block by block.
 BLOCK = 2048
 
@@ -110,6 +113,16 @@ def _describe(spark: SparkSession, docs: DataFrame, sketch: np.ndarray, shingle:
 # -------------------------------------------------------------- pairs of a cell
 
 
+def _narrowed(heads: np.ndarray, i: int, j: np.ndarray, most: int) -> np.ndarray:
+    """Those of j whose first bitmap words differ from i's in at most so many bits; exact, as whole bitmaps differ in no fewer."""
+    differ = np.zeros(len(j), np.int64)
+    for word in heads:
+        differ = differ + np.bitwise_count(word[j] ^ word[i])
+        near = differ <= most
+        j, differ = j[near], differ[near]
+    return j
+
+
 def _passing(n: np.ndarray, pos: np.ndarray, group: np.ndarray, bits: np.ndarray, block: np.ndarray, cross: bool, apart: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (i, j, distance) of rows sorted by size and group that no filter rules out.
 
@@ -117,6 +130,7 @@ def _passing(n: np.ndarray, pos: np.ndarray, group: np.ndarray, bits: np.ndarray
     that pass are expanded to members, whose bitmaps must differ in few enough bits.
     """
     m = len(n)
+    heads = np.ascontiguousarray(bits[:, :HEAD_WORDS].T)
     lead = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (n[1:] != n[:-1])]))
     stop = np.append(lead[1:], m)
     gn, gp = n[lead], pos[lead]
@@ -129,13 +143,16 @@ def _passing(n: np.ndarray, pos: np.ndarray, group: np.ndarray, bits: np.ndarray
         b = b[most >= need]
         if not len(b):
             continue
-        columns = np.concatenate([np.arange(lead[g], stop[g]) for g in b]) if len(b) < stop[b[-1]] - lead[b[0]] else np.arange(lead[b[0]], stop[b[-1]])
+        lengths = stop[b] - lead[b]
+        columns = np.repeat(lead[b] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
         for i in range(lead[a], stop[a]):
-            j = columns[columns > i]
+            j = columns[np.searchsorted(columns, i, side="right") :]
             if cross:
                 j = j[block[j] != block[i]]
             if apart is not None:
                 j = j[apart[j] != apart[i]]
+            if len(j) > MANY:
+                j = _narrowed(heads, i, j, (n[i] + n[j[-1]]) * (100 - percent) // (100 + percent))
             if not len(j):
                 continue
             differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int32)
@@ -150,6 +167,8 @@ def _passing(n: np.ndarray, pos: np.ndarray, group: np.ndarray, bits: np.ndarray
 
 def spanning_pairs(m: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
     """Indexes of pairs that form a minimum spanning forest (Boruvka's rounds)."""
+    if len(i) == 1:
+        return np.zeros(1, np.int64)
     order = np.argsort(d, kind="stable")
     label, chosen = np.arange(m), []
     while len(order):
@@ -184,21 +203,30 @@ def _first_of_each(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return ends[first], place[first]
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray | pa.Array]]:
-    """Rows of each cell in turn; input is sorted by token, one and two."""
+def _columns(table: pa.Table) -> dict[str, np.ndarray]:
+    out = {k: table[k].to_numpy() for k in ("token", "one", "two", "node", "n", "pos", "grp", "block", "comp")}
+    out |= {k: out[k].astype(np.int64) for k in ("n", "pos")}
+    out["bits"] = np.frombuffer(b"".join(table["bitmap"].to_pylist()), np.uint64).reshape(len(table), BITMAP // 64)
+    return out
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of each cell of two rows or more in turn; input is sorted by token, one and two."""
     rest: pa.Table | None = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
         table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
-        keys = [table[k].to_numpy() for k in ("token", "one", "two")]
-        new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1 if len(table) else np.empty(0, np.int64)
-        edges = np.concatenate([[0], new])
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if not len(table):
+            continue
+        columns = _columns(table)
+        new = np.flatnonzero(np.any([columns[k][1:] != columns[k][:-1] for k in ("token", "one", "two")], axis=0)) + 1
+        edges = [0, *new.tolist()]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             if hi - lo > 1:
-                yield table.slice(lo, hi - lo)
-        rest = table.slice(int(edges[-1])) if len(table) else None
+                yield {k: c[lo:hi] for k, c in columns.items()}
+        rest = table.slice(edges[-1])
     if rest is not None and len(rest) > 1:
-        yield rest
+        yield _columns(rest)
 
 
 def _pairs(percent: int, forest: bool):
@@ -209,12 +237,11 @@ def _pairs(percent: int, forest: bool):
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in zip(*parts, strict=True)], names=PAIRS.names)
 
         for cell in _cells(batches):
-            node, n, pos, group, block, comp = (cell[k].to_numpy() for k in ("node", "n", "pos", "grp", "block", "comp"))
+            node, comp = cell["node"], cell["comp"]
             if not forest and (comp == comp[0]).all():
                 continue
-            bits = np.frombuffer(b"".join(cell["bitmap"].to_pylist()), np.uint64).reshape(len(node), BITMAP // 64)
-            cross = bool(cell["one"][0].as_py() != cell["two"][0].as_py())
-            i, j, d = _passing(n.astype(np.int64), pos.astype(np.int64), group, bits, block, cross, None if forest else comp, percent)
+            cross = bool(cell["one"][0] != cell["two"][0])
+            i, j, d = _passing(cell["n"], cell["pos"], cell["grp"], cell["bits"], cell["block"], cross, None if forest else comp, percent)
             if forest and len(i):
                 k = spanning_pairs(len(node), i, j, d)
                 i, j, d = i[k], j[k], d[k]
@@ -240,7 +267,9 @@ def _candidates(hits: DataFrame, kinds: DataFrame, percent: int, forest: bool) -
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node", "token"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"one": F.least("block", F.col("other").cast("int")), "two": F.greatest("block", F.col("other").cast("int"))}).drop("other", "blocks")
-    rows = rows.repartition("token", "one", "two").sortWithinPartitions("token", "one", "two", "n", "grp", "node")
+    # a stated count: adaptive merging goes by bytes, and here a few bytes make much work
+    tasks = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(tasks, "token", "one", "two").sortWithinPartitions("token", "one", "two", "n", "grp", "node")
     return rows.mapInArrow(_pairs(percent, forest), PAIRS).groupBy("u", "v").agg(F.min("d").alias("d"))
 
 
