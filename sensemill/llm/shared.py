@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _OWN: list[tempfile.TemporaryDirectory] = []
+#: Spark's setting that shuffle files go as soon as the statement that made them has ended.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,8 +38,16 @@ class Workspace:
         return f"{self.root}/{name}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write a table and read it back: cuts the lineage, and survives lost executors."""
-        df.write.mode("overwrite").parquet(self.path(name))
+        """Write a table and read it back: cuts the lineage, and survives lost executors.
+
+        What follows reads the table alone, so the shuffle files behind it go at once.
+        """
+        before = self.spark.conf.get(_CLEAN_UP, "false")
+        self.spark.conf.set(_CLEAN_UP, "true")
+        try:
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            self.spark.conf.set(_CLEAN_UP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
