@@ -29,7 +29,7 @@ NEEDED_BITS = 24
 #: Documents of one block of a token; a larger token's documents are compared block by block.
 BLOCK = 2048
 
-SETS = fields(doc_id="long", version="long", n="int", f1="long", f2="long", prefix="array<long>", bitmap="binary")
+SETS = fields(doc_id="long", version="long", n="int", f1="long", f2="long", prefix="array<long>", bitmap="binary", wide="binary")
 PAIRS = fields(u="long", v="long", d="int")
 EDGES = fields(u="long", v="long")
 
@@ -87,6 +87,19 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def parity_bitmap(s: np.ndarray, bits: int) -> bytes:
+    """Bit k tells whether an odd number of members end in k; two sets' bitmaps differ in no more bits than the sets in members."""
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def differing_bits(a: bytes, b: bytes) -> int:
+    """Bits in which two parity bitmaps differ; the longer one is folded to the length of the other."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, size), axis=0) for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
 def _describe(spark: SparkSession, docs: DataFrame, sketch: np.ndarray, shingle: int, percent: int) -> DataFrame:
     """Per row: set size, fingerprints of the set, its prefix (rarest shingles first) and its parity bitmap."""
     shared = spark.sparkContext.broadcast(sketch)
@@ -95,17 +108,18 @@ def _describe(spark: SparkSession, docs: DataFrame, sketch: np.ndarray, shingle:
         rarity = shared.value
         for batch in batches:
             for i, j, buf, off in K.runs(batch.column(1)):
-                size, f1, f2, prefixes, bitmaps = [], [], [], [], []
+                size, f1, f2, prefixes, bitmaps, wide = [], [], [], [], [], []
                 for s in shingle_sets(buf, off, shingle):
                     p = prefix_length(len(s), percent) if len(s) else 0
                     prefixes.append(prefix_of(s, rarity, p))
                     size.append(len(s))
                     f1.append(int(K.mix(s).sum()) if len(s) else 0)
                     f2.append(int(K.mix(s ^ np.uint64(K.BASE[1])).sum()) if len(s) else 0)
-                    bitmaps.append(np.packbits((np.bincount((s & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1).astype(np.uint8)).tobytes())
+                    bitmaps.append(parity_bitmap(s, BITMAP))
+                    wide.append(parity_bitmap(s, 1 << len(s).bit_length()) if len(s) > BITMAP else None)
                 prefix = K.list_array(K.as_signed(np.concatenate(prefixes)), np.array([len(p) for p in prefixes]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(size, pa.int32()), *(pa.array(K.as_signed(np.array(f, np.uint64))) for f in (f1, f2)), prefix, pa.array(bitmaps, pa.binary())],
+                    [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(size, pa.int32()), *(pa.array(K.as_signed(np.array(f, np.uint64))) for f in (f1, f2)), prefix, pa.array(bitmaps, pa.binary()), pa.array(wide, pa.binary())],
                     names=SETS.names,
                 )
 
@@ -275,6 +289,27 @@ def _candidates(hits: DataFrame, kinds: DataFrame, percent: int, forest: bool) -
     return rows.mapInArrow(_pairs(percent, forest), PAIRS).groupBy("u", "v").agg(F.min("d").alias("d"))
 
 
+def _narrow_long(pairs: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
+    """Pairs without those of two long sets whose wide bitmaps differ in too many bits.
+
+    BITMAP bits are full for sets far larger than that and rule nothing out; wide ones
+    grow with the set.  Exact: no pair that is similar enough goes.
+    """
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, a, m, b in zip(*(batch.column(k).to_pylist() for k in range(3, 7)), strict=True):
+                keep.append(a is None or b is None or differing_bits(a, b) <= n + m - 2 * -(-percent * (n + m) // (100 + percent)))
+            yield batch.select([0, 1, 2]).filter(pa.array(keep, pa.bool_()))
+
+    long = kinds.where("wide is not null")
+    met = pairs
+    for end, size, bits in (("u", "n1", "w1"), ("v", "n2", "w2")):
+        met = met.join(long.select(F.col("node").alias(end), F.col("n").alias(size), F.col("wide").alias(bits)), end, "left")
+    return met.select("u", "v", "d", "n1", "w1", "n2", "w2").mapInArrow(check, PAIRS)
+
+
 def _maybe_needed(docs: DataFrame, needed: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text may be needed, before any exchange: a one-hash Bloom filter of their versions.
 
@@ -387,19 +422,19 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     known = _describe(spark, read, frequency_sketch(read, shingle), shingle, percent)
     known = work.keep(known.withColumn("node", F.when(F.col("n") > 0, F.xxhash64("f1", "f2", "n"))), "sets")
     lead = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.col("version").alias("v"))).alias("lead")
-    kinds = known.where("n > 0").groupBy("node").agg(lead, F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"))
+    kinds = known.where("n > 0").groupBy("node").agg(lead, F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"), F.first("wide").alias("wide"))
     kinds = work.keep(kinds.withColumn("grp", F.xxhash64("n", "prefix")), "kinds")
 
     tokens = kinds.select("node", F.posexplode("prefix").alias("pos", "token"))
     common = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     hits = work.keep(tokens.join(work.keep(common, "common"), "token"), "hits")
     links = Links(work, read, kinds, shingle, percent)
-    links.try_pairs(work.keep(_candidates(hits.withColumn("comp", F.col("node")), kinds, percent, True), "pairs-1"), 1)
+    links.try_pairs(work.keep(_narrow_long(_candidates(hits.withColumn("comp", F.col("node")), kinds, percent, True), kinds, percent), "pairs-1"), 1)
 
     placed = hits.join(links.roots, "node", "left").select("node", "token", "pos", "blocks", F.coalesce("root", "node").alias("comp"))
     split = placed.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("token")
     placed = placed.join(work.keep(split, "split"), "token")
-    links.try_pairs(work.keep(_candidates(placed, kinds, percent, False), "pairs-2"), 0)
+    links.try_pairs(work.keep(_narrow_long(_candidates(placed, kinds, percent, False), kinds, percent), "pairs-2"), 0)
     roots = links.roots
 
     named = kinds.select("node", F.col("lead.d").alias("d")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
