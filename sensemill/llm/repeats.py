@@ -92,7 +92,8 @@ def settle(work: Workspace, shared: DataFrame, other_text: bool) -> DataFrame:
     ``shared`` has the segments and ``several`` (do segments of the anchor differ?).
     The first segment of each kind stands for all of its kind.  With ``other_text``
     a segment is a repeat if an equal one is in a text of smaller id, else if an
-    equal one is anywhere.
+    equal one is anywhere.  With ``other_text`` the segments under the first one's id
+    are compared too: they are no repeats of it, but their windows may be of others.
     """
     order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.col("version").alias("v"), F.col("first").alias("f"))
     n = F.sum("weight") if "weight" in shared.columns else F.count("*")
@@ -101,7 +102,8 @@ def settle(work: Workspace, shared: DataFrame, other_text: bool) -> DataFrame:
     joined = shared.join(kinds, ["anchor", "c1", "c2"])
     mine = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.col("version").alias("v"), F.col("first").alias("f"))
     full = (F.col("lead.d") < mine["d"]) if other_text else (F.col("n") > 1)
-    weight = F.when(F.col("several") & (F.col("lead") == mine), F.col("n")).otherwise(F.lit(0))
+    stands = (F.col("lead.d") == mine["d"]) if other_text else (F.col("lead") == mine)
+    weight = F.when(F.col("several") & stands, F.col("n")).otherwise(F.lit(0))
     return joined.select("doc_id", "version", "first", "last", "gap", full.alias("full"), weight.alias("weight")).where("full or weight > 0")
 
 

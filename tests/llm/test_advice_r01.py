@@ -1,0 +1,28 @@
+"""What the first review found: cases that came out short before."""
+
+import hashlib
+import re
+
+import numpy as np
+
+from sensemill.llm import seed_extend
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def test_blocks_repeated_inside_one_document(spark):
+    rng = np.random.default_rng(11)
+    part = lambda n: " ".join(f"v{k}" for k in rng.integers(0, 5000, n))
+    p, b, c, a, x, y, z = (part(60) for _ in range(7))
+    rows = [(3, f"{p} {a}"), (5, f"{x} {b} {p} {c} {b} {p} {c} {y}"), (5, f"{y} {b} {p} {c} {z}"), (None, f"{z} {a} {x}"), (None, f"{y} {a} {x}"), (None, f"{y} {a} {x}")]
+    got = sorted((r.doc_id or 99, r.n_removed, r.kept_sha256) for r in seed_extend.remove_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    words = [(i or 99, WORD.findall(t)) for i, t in rows]
+    first = {}
+    for i, w in words:
+        for k in range(len(w) - 49):
+            first[tuple(w[k : k + 50])] = min(i, first.get(tuple(w[k : k + 50]), i))
+    want = []
+    for i, w in words:
+        gone = {q for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < i for q in range(k, k + 50)}
+        want.append((i, len(gone), hashlib.sha256(" ".join(t for q, t in enumerate(w) if q not in gone).encode()).hexdigest()))
+    assert got == sorted(want)
