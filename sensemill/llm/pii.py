@@ -189,7 +189,7 @@ def _worth_it(text: str) -> bool:
 
 
 def detect_disguised(text: str, base: list[Span]) -> list[Span]:
-    """Spans that show only after rewriting, in source offsets, apart from the base spans."""
+    """Spans that show only after rewriting, in source offsets; those that a base span of their kind covers are left out."""
     if not _worth_it(text):
         return []
     a = Aligned(text)
@@ -200,7 +200,7 @@ def detect_disguised(text: str, base: list[Span]) -> list[Span]:
     out = []
     for kind, s, e in detect(a.text):
         source = a.start[s], a.end[e - 1]
-        if any(a.changed[s:e]) and not any(x < source[1] and source[0] < y for _, x, y in base):
+        if any(a.changed[s:e]) and not any(k == kind and x <= source[0] and source[1] <= y for k, x, y in base):
             out.append((kind, *source))
     return out
 

@@ -4,8 +4,9 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 
-from sensemill.llm import seed_extend
+from sensemill.llm import pii, seed_extend
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -26,3 +27,16 @@ def test_blocks_repeated_inside_one_document(spark):
         gone = {q for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < i for q in range(k, k + 50)}
         want.append((i, len(gone), hashlib.sha256(" ".join(t for q, t in enumerate(w) if q not in gone).encode()).hexdigest()))
     assert got == sorted(want)
+
+
+@pytest.mark.parametrize(("text", "base"), [
+    ("jоhn@example.com", "hn@example.com"),
+    ("john@mail.exаmple.com", "john@mail.ex"),
+    ("jоhn@mail.exаmple.com", "hn@mail.ex"),
+])
+def test_disguised_span_beside_a_partial_base_span(text, base):
+    whole = f"write to {text} now"
+    plain, every = pii._both(whole)
+    assert [whole[s:e] for _, s, e in plain] == [base]
+    assert sorted(whole[s:e] for _, s, e in every) == sorted([text, base])
+    assert pii.mask(whole) == "write to [EMAIL] now"
