@@ -7,8 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernel as K
 from .shared import Workspace, documents, fields
@@ -177,23 +179,34 @@ def remove_hit_words(hits: DataFrame) -> DataFrame:
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", ngram: int = NGRAM, min_percent: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` with all columns: contaminated ones go, from others the hit words are cut.
 
-    A text without hits stays as it is, a null one null.  Blocks of a larger benchmark
-    are taken one after the other, each on what the former left.
+    A text without hits stays as it is, a null one null.  Hits of all blocks of a larger
+    benchmark are united on the original text, in a table kept in the shared folder
+    between two blocks, before anything is dropped or cut.
     """
-    where = docs.columns.index(text_col)
-    out = docs
-    for block in _blocks(benchmark.select(F.lit(None).cast("string"), F.col(item_text_col).cast("string")), block_bytes):
-        shared = spark.sparkContext.broadcast(GramSet(block, ngram))
+    where, names = docs.columns.index(text_col), docs.columns
+    width, mark = len(names), f"hits_{uuid.uuid4().hex}"
+    marked = T.StructType([*docs.schema.fields, T.StructField(mark, T.ArrayType(T.IntegerType()))])
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def judge(df: DataFrame, grams: GramSet, last: bool) -> DataFrame:
+        shared = spark.sparkContext.broadcast(grams)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i, j, buf, off in K.runs(batch.column(where)):
                     part = batch.slice(i, j - i)
                     start, end, cuts = K.word_spans(buf, off, K.WORD_ALNUM)
                     hit, _ = shared.value.find(K.word_values(buf, start, end, lower=True), cuts)
+                    if part.num_columns > width:  # what earlier blocks have found
+                        lists = part.column(width)
+                        hit[np.repeat(cuts[:-1], pc.list_value_length(lists).to_numpy()) + lists.flatten().to_numpy()] = True
+                        part = pa.RecordBatch.from_arrays(part.columns[:width], names=names)
+                    total = np.concatenate([[0], np.cumsum(hit)])
+                    n = total[cuts[1:]] - total[cuts[:-1]]
+                    if not last:
+                        at = np.flatnonzero(hit)
+                        yield pa.RecordBatch.from_arrays([*part.columns, K.list_array((at - np.repeat(cuts[:-1], n)).astype(np.int32), n)], names=marked.names)
+                        continue
                     if hit.any():
-                        total = np.concatenate([[0], np.cumsum(hit)])
-                        n = total[cuts[1:]] - total[cuts[:-1]]
                         texts = part.column(where).to_pylist()
                         gone = np.zeros(len(buf) + 1, np.int64)
                         gone[start[hit]] += 1
@@ -201,9 +214,18 @@ def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text_col:
                         keep = np.cumsum(gone[:-1]) == 0
                         for r in np.flatnonzero(n).tolist():
                             texts[r] = buf[off[r] : off[r + 1]][keep[off[r] : off[r + 1]]].tobytes().decode()
-                        columns = [pa.array(texts, pa.string()) if c == where else part.column(c) for c in range(part.num_columns)]
-                        part = pa.RecordBatch.from_arrays(columns, names=part.schema.names).filter(pa.array(100 * n < min_percent * np.maximum(np.diff(cuts), 1)) if min_percent else pa.array(n == 0))
+                        columns = [pa.array(texts, pa.string()) if c == where else part.column(c) for c in range(width)]
+                        part = pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(100 * n < min_percent * np.maximum(np.diff(cuts), 1)) if min_percent else pa.array(n == 0))
                     yield part
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+        return df.mapInArrow(run, docs.schema if last else marked)
+
+    blocks = _blocks(benchmark.select(F.lit(None).cast("string"), F.col(item_text_col).cast("string")), block_bytes)
+    block, after = next(blocks, None), next(blocks, None)
+    if block is None:
+        return docs
+    out, work = docs, Workspace(spark, "clean") if after is not None else None
+    while after is not None:
+        out = work.keep(judge(out, GramSet(block, ngram), False), f"block-{uuid.uuid4().hex}")
+        block, after = after, next(blocks, None)
+    return judge(out, GramSet(block, ngram), True)

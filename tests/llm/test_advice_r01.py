@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from sensemill.llm import pii, seed_extend
+from sensemill.llm import decontaminate, jaccard_join, pii, seed_extend
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -40,3 +40,33 @@ def test_disguised_span_beside_a_partial_base_span(text, base):
     assert [whole[s:e] for _, s, e in plain] == [base]
     assert sorted(whole[s:e] for _, s, e in every) == sorted([text, base])
     assert pii.mask(whole) == "write to [EMAIL] now"
+
+
+def test_clean_unites_the_blocks_of_a_benchmark(spark):
+    rng = np.random.default_rng(5)
+    part = lambda n: [f"u{k}" for k in rng.integers(0, 5000, n)]
+    shared = part(40)
+    items = [shared[:20], shared[10:30], part(13), part(13), part(3), [], shared[5:18]]
+    texts = [
+        part(200) + items[2] + part(150), part(300) + items[2] + part(10) + items[3] + part(100), part(400) + shared + part(900), items[4] + part(90),
+        items[4], part(30), [], part(500) + items[0] + part(500) + items[3] + part(4),
+    ]
+    rows = [(i, " ".join(t), "x") for i, t in enumerate(texts)] + [(90, None, "x")]
+    windows = {tuple(t[k : k + 13]) for t in items for k in range(max(len(t) - 12, 1)) if t}
+    want = {90: (None, "x")}
+    for i, w in enumerate(texts):
+        hit = {p for n in {len(t) for t in windows} for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in windows for p in range(k, k + n)}
+        if not hit or 100 * len(hit) < 5 * len(w):
+            want[i] = (" ".join("" if p in hit else x for p, x in enumerate(w)), "x")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hits string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)] + [(9, None)], "item_id long, text string").coalesce(1)
+    for block in (1 << 20, 10):
+        out = decontaminate.clean(spark, docs, bench, block_bytes=block)
+        assert out.columns == docs.columns and {r[0]: tuple(r)[1:] for r in out.collect()} == want
+
+
+def test_pipeline_stages_keep_rows_and_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h", "s"), (2, "a b c d e f g h", "s"), (3, "mail jо@example.com", None), (4, None, "s"), (5, "", "s")], "doc_id long, text string, source string")
+    assert sorted(r.doc_id for r in jaccard_join.keep_one(spark, docs, shingle=5, percent=80).collect()) == [1, 3, 4, 5]
+    out = pii.redact(docs)
+    assert out.columns == docs.columns and {r.doc_id: (r.text, r.source) for r in out.collect()} == {1: ("a b c d e f g h", "s"), 2: ("a b c d e f g h", "s"), 3: ("mail [EMAIL]", None), 4: (None, "s"), 5: ("", "s")}
