@@ -8,6 +8,7 @@ they find is mapped back.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import unicodedata
@@ -88,19 +89,34 @@ LOOK_ALIKES = {
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
 _WORD = "|".join(SPELLED)
-_UNUSUAL = re.compile(r"[^\x00-\x7f¡-¬®-ɏ—-›€™]")
 #: At least four spelled digits in a row, single figures among them allowed.
 _SPELLED_RUN = re.compile(rf"(?i)\b(?:plus[ -]+)?(?:(?:{_WORD})|[0-9])(?:[ .,-]*[ .,-](?:{_WORD}|[0-9]|dot|point)\b){{3,}}")
-_ONES = re.compile(r"\bo(?:ne|h)[ .,-]+(?:one|oh|[0-9])[ .,-]")
 _SPELLED_TOKEN = re.compile(rf"(?i)(?:plus|{_WORD}|dot|point|[0-9])\b")
 _BRACKET_AT = re.compile(r"(?i)\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*")
-_BRACKETED = re.compile(r"[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]")
+_BRACKETED = re.compile(r"(?i)[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]")
 _BRACKET_DOT = re.compile(r"(?i)\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*")
 # Last labels that an address spelled in bare words may end with.
 BARE_ENDS = ("com", "org", "net", "edu", "gov", "info", "biz", "io", "co", "eu", "uk", "de", "fr", "es", "it", "nl", "us", "ca", "au", "jp", "ru", "ch", "at", "be", "se")
 
-#: Bare words count only together and before a known last label: "name at host dot com".
-_BARE = re.compile(rf"(?i)[a-z0-9_%+-]+(?:(?:\s+dot\s+|\.)[a-z0-9_%+-]+)*(?:\s+at\s+|@)[a-z0-9-]+(?:(?:\s+dot\s+|\.)[a-z0-9-]+)*?\s+dot\s+(?:{'|'.join(BARE_ENDS)})\b(?:(?:\s+dot\s+|\.)(?:{'|'.join(BARE_ENDS)})\b)?")
+# Words that begin no host before an unknown last label, and words that are none.
+_NO_HOST = "a|an|the|this|that|these|those|each|every|any|some|one|no|its|his|her|their|our|your|my|which|what"
+_NO_END = "and|or|on|of|the|an|for|with|from|that|this|these|those|was|were|are|has|had|have|but|not|than|then|into|onto|over|under|near|which|who|when|where|while|one|two"
+
+_MORE = r"(?:\s+dot\s+|\.)"
+_NAME, _LABELS = rf"[a-z0-9_%+-]++(?:{_MORE}[a-z0-9_%+-]++)*", rf"[a-z0-9-]++(?:{_MORE}[a-z0-9-]++)*?"
+_END = rf"(?!(?:{_NO_END})\b)[a-z]{{2,}}+(?![a-z0-9_-])"
+#: Bare words count only together: "name at host dot label", the label of letters, and the
+#: host's first word and the label no common words of prose unless the label is a known end.
+#: A spelled "at" alone counts before a dotted host, behind a name that is no mere word: one
+#: with a letter and a dot (spelled or not), underscore, per cent sign, plus or figure.
+_BARE = re.compile(
+    r"(?i)(?<![a-z0-9_%+-])(?<![a-z0-9_%+-]\.)"
+    rf"(?:{_NAME}(?:\s+at\s+|@)(?:{_LABELS}\s+dot\s+(?:{'|'.join(BARE_ENDS)})\b|(?!(?:{_NO_HOST})\b){_LABELS}\s+dot\s+{_END})"
+    rf"|(?=[a-z0-9_%+.-]*[a-z])(?=[a-z0-9-]*[0-9_%+]|[a-z0-9_%+-]++{_MORE}){_NAME}\s+at\s+[a-z0-9-]++(?:\.[a-z0-9-]++)*?\.{_END})"
+    rf"(?:{_MORE}{_END})*"
+)
+#: What every match of _BARE holds.
+_BARE_CORE = re.compile(r"(?i)\sdot\s|\sat\s+[a-z0-9-]+\.[a-z0-9-]")
 _BARE_TOKEN = re.compile(r"(?i)\s+(at|dot)\s+")
 
 
@@ -129,6 +145,7 @@ class Aligned:
             self.start, self.end, self.changed = start + self.start[at:], end + self.end[at:], changed + self.changed[at:]
 
 
+@functools.cache
 def plain_character(c: str) -> str:
     """The ASCII character that a look-alike stands for; empty for invisible ones; else itself."""
     if c in LOOK_ALIKES:
@@ -176,16 +193,10 @@ def _bare(a: Aligned) -> Iterator[tuple[int, int, str]]:
 
 
 def _worth_it(text: str) -> bool:
-    """Could any transducer change what is detected?  A cheap test for the common case."""
-    if not text.isascii() and _UNUSUAL.search(text):
+    """Does any transducer rewrite something?  As long as none does, each sees the text itself."""
+    if not text.isascii() and any(plain_character(c) != c for c in set(text)):
         return True
-    low = text.lower()
-    if "dot" in low or "point" in low or _BRACKETED.search(low):
-        return True
-    # "one" and "oh" stand in many words, the others in few
-    if sum(low.count(w) for w in SPELLED if w not in ("one", "oh")) >= 2:
-        return bool(_SPELLED_RUN.search(low))
-    return low.count("one") >= 4 and bool(_ONES.search(low))
+    return bool(_BRACKETED.search(text) or _SPELLED_RUN.search(text) or _BARE_CORE.search(text) and _BARE.search(text))
 
 
 def detect_disguised(text: str, base: list[Span]) -> list[Span]:
@@ -200,7 +211,7 @@ def detect_disguised(text: str, base: list[Span]) -> list[Span]:
     out = []
     for kind, s, e in detect(a.text):
         source = a.start[s], a.end[e - 1]
-        if any(a.changed[s:e]) and not any(k == kind and x <= source[0] and source[1] <= y for k, x, y in base):
+        if (any(a.changed[s:e]) or source[1] - source[0] > e - s) and not any(k == kind and x <= source[0] and source[1] <= y for k, x, y in base):
             out.append((kind, *source))
     return out
 

@@ -5,6 +5,8 @@ import re
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from sensemill.llm import decontaminate, jaccard_join, pii, seed_extend
 
@@ -70,3 +72,29 @@ def test_pipeline_stages_keep_rows_and_columns(spark):
     assert sorted(r.doc_id for r in jaccard_join.keep_one(spark, docs, shingle=5, percent=80).collect()) == [1, 3, 4, 5]
     out = pii.redact(docs)
     assert out.columns == docs.columns and {r.doc_id: (r.text, r.source) for r in out.collect()} == {1: ("a b c d e f g h", "s"), 2: ("a b c d e f g h", "s"), 3: ("mail [EMAIL]", None), 4: (None, "s"), 5: ("", "s")}
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    *((f"jo at example dot {end}", f"jo at example dot {end}") for end in ("dev", "ai", "pl", "xyz", "com")),
+    ("write jo.doe at example.com today", "jo.doe at example.com"),
+    ("ask jo_7 at mail.example.co.uk now", "jo_7 at mail.example.co.uk"),
+    ("jo at mail dot example dot dev", "jo at mail dot example dot dev"),
+    ("jo@example․com", "jo@example․com"),
+    ("jo@exa\u202ample.com", "jo@exa\u202ample.com"),
+    ("call +1 5 5 five 0 1 2 3 4 5 6", "+1 5 5 five 0 1 2 3 4 5 6"),
+    ("call +1²345678901", "+1²345678901"),
+    ("call +1 555\u202f0100\u202f123", "+1 555\u202f0100\u202f123"),
+    ("read more at example.com, or look at the dot on a page", None),
+    ("a point at a dot of ink, meet at noon. Then go", None),
+])
+def test_disguises_of_any_ending_and_character(text, want):
+    assert [text[s:e] for _, s, e in pii.detect_disguised(text, pii.detect(text))] == ([want] if want else [])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["jo", "a.b", " at ", " dot ", "example", "dev", ".com", "@", "1", " five", " ", "two ", "plus ", "[at]", "(DOT)", "․", "\u202a", "²", "é", "о", "-", ","]), max_size=14).map("".join))
+def test_the_gate_skips_nothing_that_is_rewritten(text):
+    a = pii.Aligned(text)
+    for step in (pii._look_alikes, pii._digits, pii._brackets, pii._bare):
+        a.rewrite(step(a))
+    assert pii._worth_it(text) or a.text == text
