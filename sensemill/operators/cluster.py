@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import vectors as VO
 from ..functions import vectors as V
 
-#: Rows of one group that the in-memory methods take; larger groups are refused, not cut.
+#: Rows of one group that methods with a full distance matrix take; larger groups are refused, not cut.
 MOST_ROWS = 5000
 
 
@@ -101,7 +101,7 @@ def gap_rule(gaps: list[float], errors: list[float]) -> int:
     return len(gaps) - 1
 
 
-def k_by_gap(x: np.ndarray, most: int, references: int = 20, metric: str = "cosine", seed: int = 0) -> tuple[int, np.ndarray]:
+def k_by_gap(x: np.ndarray, most: int, references: int = 100, metric: str = "cosine", seed: int = 0) -> tuple[int, np.ndarray]:
     """Number of clusters by the gap statistic, ascending from 1, and the labels."""
     lo, hi = x.min(0), x.max(0)
     gaps, errors, labels = [], [], []
@@ -119,19 +119,33 @@ def k_by_gap(x: np.ndarray, most: int, references: int = 20, metric: str = "cosi
     return len(labels), labels[-1]
 
 
-def k_by_gap_descending(x: np.ndarray, start: int, references: int = 20, metric: str = "cosine", seed: int = 0) -> tuple[int, np.ndarray]:
+def cut_tree(n: int, merges: list[tuple[int, int]], k: int) -> np.ndarray:
+    """The k clusters of n rows that the first n - k merges leave."""
+    parent = np.arange(n)
+    for i, j in merges[: n - k]:
+        parent[parent == j] = i
+    return np.unique(parent, return_inverse=True)[1]
+
+
+def k_by_gap_descending(x: np.ndarray, start: int, references: int = 100, metric: str = "cosine", seed: int = 0) -> tuple[int, np.ndarray]:
     """Number of clusters by the gap statistic over an agglomerative tree, from ``start`` downwards.
 
     The first step with a gap of 0 or more arms the rule; the next below 0 stops it.
+    The same reference sets, with a tree each, serve all numbers of clusters.
     """
     lo, hi = x.min(0), x.max(0)
 
+    def tree(y: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        merges: list[tuple[int, int]] = []
+        hac(distances(y, metric), 1, merges=merges)
+        return y, merges
+
+    own = tree(x)
+    others = [tree(np.random.default_rng([seed, b]).uniform(lo, hi, x.shape)) for b in range(references)]
+
     def at(k: int) -> tuple[float, float, np.ndarray]:
-        label = hac(distances(x, metric), k)
-        refs = []
-        for b in range(references):
-            u = np.random.default_rng([seed, k, b]).uniform(lo, hi, x.shape)
-            refs.append(log_dispersion(u, hac(distances(u, metric), k), metric))
+        label = cut_tree(len(x), own[1], k)
+        refs = [log_dispersion(u, cut_tree(len(u), merges, k), metric) for u, merges in others]
         return float(np.mean(refs)) - log_dispersion(x, label, metric), float(np.std(refs)) * (1 + 1 / references) ** 0.5, label
 
     armed, here = False, at(start)
@@ -173,12 +187,13 @@ def bisect_margin(x: np.ndarray, margin: float) -> np.ndarray:
     return label if to_centres(c[:1], c[1:], "cosine")[0, 0] >= margin else np.zeros(len(x), int)
 
 
-def hac(d: np.ndarray, k: int, linkage: str = "average", max_size: int | None = None, mean: np.ndarray | None = None, var: np.ndarray | None = None, size: np.ndarray | None = None) -> np.ndarray:
+def hac(d: np.ndarray, k: int, linkage: str = "average", max_size: int | None = None, mean: np.ndarray | None = None, var: np.ndarray | None = None, size: np.ndarray | None = None, merges: list | None = None) -> np.ndarray:
     """Agglomerative clustering of a distance matrix down to k clusters.
 
     Ties go by (distance, i, j).  ``max_size`` vetoes merges of more leaves.  With means
     and variances the merged node's are pooled and its symmetric KL distances computed
     anew.  Infinite distances (no connection) are used last.
+    ``merges`` takes the merged pairs in order.
     """
     n = len(d)
     d = d.astype(float).copy()
@@ -204,6 +219,8 @@ def hac(d: np.ndarray, k: int, linkage: str = "average", max_size: int | None =
             mean[i], var[i] = m, v
         alive[j] = False
         parent[parent == j] = i
+        if merges is not None:
+            merges.append((i, j))
         version[i] += 1
         for o in np.flatnonzero(alive):
             if o == i:
@@ -321,27 +338,30 @@ def dp_means(x: np.ndarray, most: int, alpha: float) -> np.ndarray:
 
 METHODS = {
     "none": lambda x, **_: np.zeros(len(x), int),
-    "gap": lambda x, most=8, **_: k_by_gap(x, min(most, len(x)))[1],
-    "gap_hac": lambda x, most=8, **_: k_by_gap_descending(x, min(most, len(x)))[1],
+    "gap": lambda x, min_size=1, **_: k_by_gap(x, max(1, len(x) // min_size))[1],
+    "gap_hac": lambda x, min_size=1, **_: k_by_gap_descending(x, max(1, len(x) // min_size))[1],
     "cosine": lambda x, margin=0.5, **_: bisect_margin(x, margin),
     "ha": lambda x, k=2, **_: hac(distances(x, "cosine"), min(k, len(x))),
     "ward": lambda x, k=2, **_: ward(x, min(k, len(x))),
     "kmeans": lambda x, k=2, **_: kmeans(x, min(k, len(x))),
     "ms": lambda x, **_: mean_shift(x),
     "sc": lambda x, k=2, **_: spectral(x, min(k, len(x))) if len(x) > 1 else np.zeros(len(x), int),
-    "dpgmm": lambda x, most=32, alpha=1.0, **_: dp_means(x, min(most, len(x)), alpha),
+    "dpgmm": lambda x, alpha=1.0, **_: dp_means(x, len(x), alpha),
 }
+#: Those that need a full distance matrix.
+MATRIX_METHODS = frozenset({"gap_hac", "ha", "ward", "ms", "sc"})
 
 
 def label_groups(df: DataFrame, group: str, key: str, vec: str, method: str, **options) -> DataFrame:
-    """group, key, label: a method of METHODS run inside each group of at most MOST_ROWS rows.
+    """group, key, label: a method of METHODS run inside each group.
 
-    Groups run in parallel; a larger one raises, so nothing is cut silently.
+    Groups run in parallel.  One of MATRIX_METHODS raises on a group of more than
+    MOST_ROWS rows, so nothing is cut silently.
     """
     run = METHODS[method]
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
-        if len(part) > MOST_ROWS:
+        if method in MATRIX_METHODS and len(part) > MOST_ROWS:
             raise ValueError(f"a group of {len(part)} rows is more than {MOST_ROWS}")
         part = part.sort_values("k", kind="stable")
         x = np.array(part["v"].tolist(), float)

@@ -786,14 +786,14 @@ def _by_label(method, **options):
     return lambda spark, d: C.label_groups(emb(spark, d).withColumnRenamed("label", "grp"), "grp", "vec_id", "v", method, **options)
 
 
-query(name="gap_select_k")(_by_label("gap", most=4))
-query(name="gap_hac_select_k")(_by_label("gap_hac", most=4))
+query(name="gap_select_k")(_by_label("gap"))
+query(name="gap_hac_select_k")(_by_label("gap_hac"))
 query(name="bisect_margin")(_by_label("cosine", margin=0.5))
 query(name="hac_labels")(_by_label("ha", k=5))
 query(name="ward_labels")(_by_label("ward", k=5))
 query(name="mean_shift_labels")(_by_label("ms"))
 query(name="spectral_labels")(_by_label("sc", k=3))
-query(name="dp_labels")(_by_label("dpgmm", most=8))
+query(name="dp_labels")(_by_label("dpgmm"))
 
 
 @query()
