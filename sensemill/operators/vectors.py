@@ -13,6 +13,8 @@ from ..functions import vectors as V
 
 #: Vectors of one block in comparisons of all pairs.
 BLOCK = 1024
+#: Cosine distance up to which NumPy's isclose takes a cosine for 1.
+CLOSE = 1e-8 + 1e-5
 
 
 def dims(df: DataFrame, key: list[str], vec: str) -> DataFrame:
@@ -107,14 +109,18 @@ def nearest_centroid(df: DataFrame, key: str, vec: str, centroids: DataFrame, cl
 def vector_duplicates(df: DataFrame, key: str, image: str, text: str) -> DataFrame:
     """Flags: missing (a modality's norm is about 0) and duplicate (both modalities match another row's).
 
-    Matching pairs have equal rounded unit vectors in the first modality, so they meet in an
-    equi-join on these instead of in all pairs.
+    A modality matches where the cosine is 1 up to NumPy's isclose, or where both vectors are
+    zero.  Pairs come from the exact blocked join of each modality; keys are integers.
     """
     i, t = V.as_doubles(F.col(image)), V.as_doubles(F.col(text))
     zero = lambda v: V.close(V.norm(v), F.lit(0.0))
     missing = df.where(zero(i) | zero(t)).select(key, F.lit("missing").alias("reason"))
-    rounded = lambda v: F.transform(V.unit(v), lambda x: F.round(x, 4) + 0.0)
-    rows = df.select(F.col(key), rounded(i).alias("ri"), rounded(t).alias("rt"))
-    many = rows.groupBy("ri", "rt").agg(F.count("*").alias("n")).where("n > 1")
-    duplicate = rows.join(many, ["ri", "rt"], "left_semi").select(key, F.lit("duplicate").alias("reason"))
-    return missing.unionByName(duplicate)
+    no_i, no_t = V.norm(i) == 0, V.norm(t) == 0
+    pi = all_pairs(df.where(~no_i), key, image, "cosine", keep=CLOSE).select("i", "j")
+    pt = all_pairs(df.where(~no_t), key, text, "cosine", keep=CLOSE).select("i", "j")
+    inside = lambda pairs, rows: pairs.join(rows.select(F.col(key).alias("i")), "i", "left_semi").join(rows.select(F.col(key).alias("j")), "j", "left_semi").select("i", "j")
+    both = pi.join(pt, ["i", "j"]).unionByName(inside(pt, df.where(no_i))).unionByName(inside(pi, df.where(no_t)))
+    none = df.where(no_i & no_t).select(F.col(key).alias("k"))
+    alike = none.join(none.agg(F.count("*").alias("n")).where("n > 1"), F.col("n") > 1).select("k")
+    found = both.select(F.explode(F.array("i", "j")).alias("k")).unionByName(alike).distinct()
+    return missing.unionByName(found.select(F.col("k").alias(key), F.lit("duplicate").alias("reason")))

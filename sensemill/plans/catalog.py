@@ -327,10 +327,17 @@ def fix_degenerate_kl(spark, d):
 
 @query(f"SELECT a.vec_id AS i, b.vec_id AS j, round(1 - list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)), 5) AS dist FROM {V_SQL} a JOIN {V_SQL} b ON a.vec_id < b.vec_id WHERE 1 - list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)) < 0.6")
 def vector_duplicates(spark, d):
-    """Near pairs by a similarity join; the exact rule is `operators.vectors.vector_duplicates`."""
+    """Near pairs by a similarity join; the rule of two modalities is `vector_duplicate_flags`."""
     return VO.all_pairs(emb(spark, d), "vec_id", "v", "cosine", keep=0.6).select("i", "j", F.round("dist", 5).alias("dist"))
 
 
+@query()
+def vector_duplicate_flags(spark, d):
+    """The first CUT dimensions are one modality, the others the second."""
+    two = emb(spark, d).select("vec_id", F.slice("v", 1, CUT).alias("image"), F.slice("v", CUT + 1, DIM - CUT).alias("text"))
+    return VO.vector_duplicates(two, "vec_id", "image", "text")
+
+
 # ---------------------------------------------------------------- 4 scoring
 
 
