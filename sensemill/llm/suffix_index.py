@@ -4,9 +4,9 @@ A batch's index is a sampled suffix array: of each text the suffixes that begin
 an anchor's run of windows begins, sorted.  Only equality of long prefixes matters
 here, so suffixes are ordered by fingerprints (anchor, then content of the segment)
 instead of bytes: equal prefixes stand together all the same, and a merge is a merge
-of sorted tables.  Each new batch is merge-scanned against the levels in place; levels
-of equal size then merge, so there are never more than log2(batches) + 1 of them, and
-a suffix is rewritten as often at most.
+of sorted tables.  Levels of equal size merge, so there are never more than
+log2(batches) + 1 of them, and a suffix is rewritten as often at most.  Batches are not
+scanned against the levels one by one: matches are looked up over all levels at the end.
 """
 
 from __future__ import annotations
