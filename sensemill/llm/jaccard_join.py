@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .components import components
-from .shared import Workspace, documents, fields
+from .shared import Workspace, documents, fields, maybe_needed
 
 SHINGLE = 3
 #: Two sets link when their Jaccard similarity is PERCENT / 100 or more.
@@ -24,8 +24,6 @@ BITMAP = 1024
 #: A row with more partners than this narrows them by the bitmap's first words before it looks at whole bitmaps.
 MANY = 64
 HEAD_WORDS = 4
-#: Bits of the map of needed texts: bounded, whatever the corpus; where it fills up, more texts move and the join drops them.
-NEEDED_BITS = 24
 #: Documents of one block of a token; a larger token's documents are compared block by block.
 BLOCK = 2048
 
@@ -310,20 +308,6 @@ def _narrow_long(pairs: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
     return met.select("u", "v", "d", "n1", "w1", "n2", "w2").mapInArrow(check, PAIRS)
 
 
-def _maybe_needed(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text may be needed, before any exchange: a one-hash Bloom filter of their versions.
-
-    The filter has 2**NEEDED_BITS bits, in words of 64, hence 2**(NEEDED_BITS - 6) rows
-    at most; that bound is what allows the broadcast.  It lets no needed row go.
-    """
-    bit = lambda v: F.pmod(F.col(v), F.lit(1 << NEEDED_BITS))
-    word = lambda v: F.shiftright(bit(v), 6).alias("_word")
-    mask = lambda v: F.expr(f"shiftleft(1L, cast(pmod({v}, 64) as int))")
-    words = needed.select(word("v"), mask("v").alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
-    met = docs.withColumn("_word", word("version")).join(F.broadcast(words), "_word")
-    return met.where(F.col("_bits").bitwiseAND(mask("version")) != 0).drop("_word", "_bits")
-
-
 def _verified(work: Workspace, docs: DataFrame, kinds: DataFrame, pairs: DataFrame, shingle: int, percent: int, name: str) -> DataFrame:
     """The pairs whose sets really are similar enough."""
     schema = fields(node="long", members="binary")
@@ -344,7 +328,7 @@ def _verified(work: Workspace, docs: DataFrame, kinds: DataFrame, pairs: DataFra
 
     needed = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     needed = work.keep(needed.join(kinds.select("node", "lead"), "node").select("node", F.col("lead.d").alias("d"), F.col("lead.v").alias("v")), f"{name}-needed")
-    texts = _maybe_needed(docs, needed).join(needed.hint("shuffle_hash"), (F.col("version") == F.col("v")) & (F.coalesce("doc_id", F.lit(2**63 - 1)) == F.col("d")))
+    texts = maybe_needed(docs, needed).join(needed.hint("shuffle_hash"), (F.col("version") == F.col("v")) & (F.coalesce("doc_id", F.lit(2**63 - 1)) == F.col("d")))
     # repeated rows stand together after the join, so this needs no exchange
     texts = texts.dropDuplicates(["v", "d"]).select("node", "text")
     members = work.keep(texts.mapInArrow(sets, schema), f"{name}-members")

@@ -2,7 +2,12 @@
 
 Texts reach Python as Arrow batches.  The kernels work on the concatenated
 UTF-8 bytes of a run of rows, so one NumPy call serves many documents; a run
-is bounded by ``CHUNK_BYTES`` unless one text alone is longer.
+is bounded by ``CHUNK_BYTES`` unless one text alone is longer, so a worker needs some
+hundred bytes of arrays for each byte of that bound, or of its longest text.
+
+Fingerprints of ranges are polynomials modulo 2**64.  Such sums alone collide on
+Thue-Morse sequences of two symbols, whatever the base; so words and byte strings are
+first rewritten as mixed values of neighbouring pairs or eights of bytes.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 U64 = np.uint64
 
 #: Odd multipliers of the two rolling fingerprints (any odd 64-bit numbers do).
@@ -134,10 +139,27 @@ def word_spans(buf: np.ndarray, off: np.ndarray, table: np.ndarray = WORD_SPACE)
     return start, np.flatnonzero(closes) + 1, np.searchsorted(start, off)
 
 
+#: A random-looking 64-bit number for each pair of neighbouring bytes, the first one low.
+PAIR_VALUE = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64) * U64(BASE[1]))
+
+
 def word_values(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit value of each word, the same wherever the word stands."""
-    table = BYTE_VALUE[LOWER] if lower else BYTE_VALUE
-    return Rolling(table[buf], 0).of(start, end) if len(buf) else np.empty(0, np.uint64)
+    """A 64-bit value of each word, the same wherever the word stands: its pairs of bytes and its last byte."""
+    if not len(start):
+        return np.empty(0, np.uint64)
+    b = (LOWER[buf] if lower else buf).astype(np.uint16)
+    pairs = Rolling(PAIR_VALUE[b[:-1] | (b[1:] << np.uint16(8))], 0).of(start, end - 1)
+    return mix(pairs ^ BYTE_VALUE[b[end - 1]])
+
+
+#: Bytes that one value of ``byte_eights`` speaks for.
+EIGHT = 8
+
+
+def byte_eights(buf: np.ndarray) -> np.ndarray:
+    """A 64-bit value of the eight bytes from each byte on; different eights have different values."""
+    padded = np.concatenate([buf, np.zeros(EIGHT, np.uint8)])
+    return mix(np.ndarray(len(buf), "<u8", padded, 0, (1,)).astype(np.uint64))
 
 
 def as_signed(x: np.ndarray) -> np.ndarray:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import kernel as K
-from . import repeats as R
+from . import extend as X
 from .shared import Workspace, documents, fields
 
 WINDOW = 50
@@ -20,31 +20,33 @@ SEED = 12
 KEPT = fields(doc_id="long", n_words="long", n_removed="long", kept_sha256="string", kept_text="string")
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED, keep_text: bool = True) -> DataFrame:
+def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED, keep_text: bool = True, most: int = X.MOST) -> DataFrame:
     """Remove words that windows shared with a document of smaller id cover.
 
-    Seeds are winnowed word n-grams.  Segments around a shared seed are extended
-    until they differ: equal ones are settled whole, others window by window, which
-    gives the maximal repeats of ``window`` words or more exactly.  Windows are
-    judged on the input.
+    Seeds are winnowed word n-grams, one in every window.  Documents are joined on
+    them; what surrounds a shared seed is extended word by word both ways, and maximal
+    repeats of ``window`` words or more count (see ``extend``: equal surroundings are
+    one kind, and crowded seeds are parted by longer ones first, so hot passages
+    neither meet in one task nor pair by pair).  Windows are judged on the input.
 
     Returns doc_id, n_words, n_removed, kept_sha256 and kept_text (kept words joined
     by blanks; null unless ``keep_text``).  Null and empty texts have no words.  Null
     ids count as larger than all others and not as different from each other; rows
-    with equal ids don't repeat from one another.
+    with equal ids don't repeat from one another.  Very long texts are scanned whole,
+    with memory in proportion to the longest one.
     """
     work = Workspace(spark, "seed-extend")
-    read = R._version(documents(docs, id_col, text_col))
-    table = work.keep(R.scan_segments(read, R.word_units, window, seed), "segments")
-    settled = R.settle(work, work.keep(R.shared_segments(work, table), "shared"), other_text=True)
-    work.drop("segments")
-    found = R.find_repeats(work, read, settled, R.word_units, window, other_text=True)
+    read = X.versioned(documents(docs, id_col, text_col))
+    table = work.keep(X.scan_segments(read, X.WORDS, window, seed), "segments")
+    kinds = work.keep(X.in_groups(work.keep(X.kinds_of(table), "all-kinds")), "kinds")
+    work.drop("all-kinds")
+    found = X.find_repeats(work, read, table, kinds, X.WORDS, window, directed=True, most=most)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, buf, off in K.runs(batch.column(1)):
                 start, end, cuts = K.word_spans(buf, off)
-                gone = R.covered_units(batch.column(2).slice(i, j - i), cuts, len(start), window)
+                gone = X.covered_units(batch.column(2).slice(i, j - i), cuts, len(start), window)
                 total = np.concatenate([[0], np.cumsum(gone)])
                 # kept words, each followed by a blank, in one buffer
                 keep = ~gone

@@ -1,18 +1,24 @@
 """Suffix-array dedup with a logarithmic family of indexes.
 
-A batch's index is a sampled suffix array: of each text the suffixes that begin where
-an anchor's run of windows begins, sorted.  Only equality of long prefixes matters
-here, so suffixes are ordered by fingerprints (anchor, then content of the segment)
-instead of bytes: equal prefixes stand together all the same, and a merge is a merge
-of sorted tables.  Levels of equal size merge, so there are never more than
-log2(batches) + 1 of them, and a suffix is rewritten as often at most.  Batches are not
-scanned against the levels one by one: matches are looked up over all levels at the end.
+A batch's index is a sampled suffix array: the suffixes that begin at winnowed anchors
+(every window of 400 bytes has one), sorted by what follows and precedes the anchor
+within reach of a window, equal ones as one entry.  Only equality of long stretches
+matters here, so entries are sorted by fingerprints of these stretches, not by their
+bytes; the bytes themselves are compared when entries of one anchor are extended.
+
+A new batch is merge-scanned against every level of the family before it is added:
+both are sorted and bucketed by anchor, so neither is exchanged.  The scan marks the
+entries of both sides that match; levels of equal size then by a merge join that
+leaves buckets where they are, so there are never more than log2(batches) + 1 and an entry is rewritten as often
+at most.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -20,88 +26,133 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import extend as X
 from . import kernel as K
-from . import repeats as R
-from .shared import Workspace, documents, fields
+from .shared import Workspace, documents, fields, setting
 
 WINDOW = 400
 #: Bytes of an anchor.
 SEED = 96
-#: Windows of a block, the step between segments and single windows.
-BLOCK = 16
-BATCHES = 2
+BATCHES = 4
+#: Spark's setting that a bucket in one sorted file counts as sorted.
+_SORTED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 KEPT = fields(doc_id="long", n_bytes="long", n_removed="long", n_spans="long", kept_sha256="string", kept="binary")
 
 
+@dataclass
+class Level:
+    """A sorted suffix table over so many batches, bucketed by anchor; entries say how often they stand and where first."""
+
+    batches: int
+    name: str
+    table: DataFrame
+
+
 class SuffixIndex:
-    """Levels of sorted suffix tables; each holds (anchor, c1, c2, n): how often a suffix prefix stands in it."""
+    """Levels of sorted suffix tables, the largest first."""
 
     def __init__(self, work: Workspace):
-        self.work, self._made = work, 0
-        #: (size in batches, name of the table, table), the largest first.
-        self.levels: list[tuple[int, str, DataFrame]] = []
-
-    def _write(self, df: DataFrame) -> tuple[str, DataFrame]:
-        self._made += 1
-        name = f"level-{self._made}"
-        return name, self.work.keep(df, name)
-
-    def add(self, segments: DataFrame) -> None:
-        """Index a batch; equal-sized levels merge."""
-        entry = segments.groupBy("anchor", "c1", "c2").agg(F.count("*").alias("n")).sortWithinPartitions("anchor", "c1", "c2")
-        size, (name, level) = 1, self._write(entry)
-        while self.levels and self.levels[-1][0] == size:
-            _, old_name, old = self.levels.pop()
-            merged = level.unionByName(old).groupBy("anchor", "c1", "c2").agg(F.sum("n").alias("n")).sortWithinPartitions("anchor", "c1", "c2")
-            merged_name, level = self._write(merged)
-            self.work.drop(old_name)
-            self.work.drop(name)
-            size, name = 2 * size, merged_name
-        self.levels.append((size, name, level))
-
-    def anchors(self) -> DataFrame:
-        """Anchors that stand twice or more over all levels, and whether what surrounds them differs."""
-        every = reduce(DataFrame.unionByName, (level for *_, level in self.levels))
-        found = every.groupBy("anchor").agg(F.sum("n").alias("n"), F.min("c1").alias("a"), F.max("c1").alias("b"), F.min("c2").alias("c"), F.max("c2").alias("d")).where("n > 1")
-        return self.work.keep(found.select("anchor", ((F.col("a") < F.col("b")) | (F.col("c") < F.col("d"))).alias("several")), "anchors")
-
-    def matches(self, segments: DataFrame) -> DataFrame:
-        """Merge-scan: the segments of a batch whose anchor stands elsewhere, in the batch or in a level."""
-        return segments.join(self.anchors(), "anchor")
-
-
-def remove_repeated_bytes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED, batches: int = BATCHES, keep_bytes: bool = True) -> DataFrame:
+        self.work, self.spark = work, work.spark
+        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[Level] = []
+
+    def _write(self, df: DataFrame, batches: int) -> Level:
+        name = f"suffixes_{uuid.uuid4().hex}"
+        df.write.bucketBy(self.buckets, "anchor").sortBy(*X.KIND).option("path", self.work.path(name)).saveAsTable(name)
+        return Level(batches, name, self.spark.table(name))
+
+    def _drop(self, level: Level) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {level.name}")
+        self.work.drop(level.name)
+
+    def array(self, segments: DataFrame) -> Level:
+        """The suffix array of one batch."""
+        return self._write(X.kinds_of(segments).repartition(self.buckets, "anchor").sortWithinPartitions(*X.KIND), 1)
+
+    def scan(self, new: Level) -> DataFrame:
+        """Entries of the new array and of the levels that stand at a shared anchor; ``n`` is over 1 where an equal entry stands elsewhere.
+
+        Semi joins of tables bucketed alike: no exchange, and at most one row for each entry and level.
+        """
+        mine = new.table
+        twice = mine.groupBy("anchor").agg(F.sum("n").alias("_n")).where("_n > 1").select("anchor")
+        found = [mine.join(twice, "anchor", "left_semi")]
+        for level in self.levels:
+            old = level.table
+            found.append(mine.join(old.select("anchor"), "anchor", "left_semi"))
+            found.append(old.join(mine.select("anchor"), "anchor", "left_semi"))
+            found.append(mine.join(old.select(*X.KIND), X.KIND, "left_semi").withColumn("n", F.col("n") + 1))
+        return reduce(DataFrame.unionByName, found)
+
+    def merge(self, a: Level, b: Level) -> Level:
+        """Two levels as one: a merge join of sorted buckets, which stay where they are; counts add up, the first place is the smaller one."""
+        other = b.table.select(*(F.col(c).alias(f"_{c}") for c in b.table.columns))
+        same = reduce(lambda x, y: x & y, (F.col(c) == F.col(f"_{c}") for c in X.KIND))
+        mine, its = (F.when(F.col(f"{p}n").isNotNull(), F.struct(*(F.col(f"{p}{c}").alias(c) for c in ("d", "v", "f")))) for p in ("", "_"))
+        met = a.table.join(other, same, "full_outer").withColumn("lead", F.least(mine, its))
+        either = lambda c: F.coalesce(c, f"_{c}").alias(c)
+        n = (F.coalesce("n", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n")
+        merged = met.select(*map(either, X.KIND), n, F.col("lead.d").alias("d"), F.col("lead.v").alias("v"), F.col("lead.f").alias("f"), either("gap"), either("span"))
+        return self._write(merged, a.batches + b.batches)
+
+    def add(self, level: Level) -> None:
+        """Levels of equal size merge."""
+        while self.levels and self.levels[-1].batches == level.batches:
+            old = self.levels.pop()
+            merged = self.merge(old, level)
+            self._drop(old)
+            self._drop(level)
+            level = merged
+        self.levels.append(level)
+
+    def close(self) -> None:
+        for level in self.levels:
+            self._drop(level)
+        self.levels = []
+
+
+def index_batch(index: SuffixIndex, segments: DataFrame, name: str) -> DataFrame:
+    """Scan a batch against the index, then add it; the entries found, of the batch and of the levels."""
+    with setting(index.spark, _SORTED, "true"):
+        new = index.array(segments)
+        found = index.work.keep(index.scan(new), name)
+        index.add(new)
+    return found
+
+
+def remove_repeated_bytes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED, batches: int = BATCHES, keep_bytes: bool = True, most: int = X.MOST) -> DataFrame:
     """Remove every byte covered by a string of ``window`` bytes that starts anywhere else too.
 
     Texts are UTF-8 bytes; matches never cross texts; overlaps count, the same text
-    is included, and all occurrences go.  Returns doc_id, n_bytes, n_removed, n_spans
-    (maximal removed runs), kept_sha256 and kept (null unless ``keep_bytes``).
+    is included, and all occurrences go, also those of earlier batches.  Returns
+    doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and kept
+    (null unless ``keep_bytes``).
 
     Null texts are empty.  Rows are documents of their own, but for rows equal in id
     and text, which share one result; each counts as an occurrence, so such rows
-    remove each other's long strings.
+    remove each other's long strings.  Very long texts are scanned whole, with memory
+    in proportion to the longest one.
     """
     work = Workspace(spark, "suffix-index")
-    read = R._version(documents(docs, id_col, text_col))
-    index = SuffixIndex(work)
-    tables = []
+    read = X.versioned(documents(docs, id_col, text_col))
+    index, tables, found = SuffixIndex(work), [], []
     for b in range(batches):  # a batch is what arrives together; here a hash deals them
         batch = read if batches == 1 else read.where(F.pmod("version", F.lit(batches)) == b)
-        tables.append(work.keep(R.scan_segments(batch, R.byte_units, window, seed), f"segments-{b}"))
-        index.add(tables[-1])
-    shared = work.keep(index.matches(reduce(DataFrame.unionByName, tables)), "shared")
-    settled = R.settle(work, shared, other_text=False)
-    for b in range(batches):
-        work.drop(f"segments-{b}")
-    for _, name, _ in index.levels:
-        work.drop(name)
-    found = R.find_repeats(work, read, settled, R.byte_units, window, other_text=False, block=BLOCK)
+        tables.append(work.keep(X.scan_segments(batch, X.BYTES, window, seed), f"segments-{b}"))
+        found.append(index_batch(index, tables[-1], f"found-{b}"))
+    index.close()
+    lead = F.min(F.struct("d", "v", "f")).alias("lead")
+    entries = reduce(DataFrame.unionByName, found).groupBy(*X.KIND).agg(F.max("n").alias("n"), lead, F.min("gap").alias("gap"), F.min("span").alias("span"))
+    entries = work.keep(entries.select(*X.KIND, "n", F.col("lead.d").alias("d"), F.col("lead.v").alias("v"), F.col("lead.f").alias("f"), "gap", "span"), "entries")
+    kinds = work.keep(X.in_groups(entries), "kinds")
+    segments = reduce(DataFrame.unionByName, tables)
+    matched = X.find_repeats(work, read, segments, kinds, X.BYTES, window, directed=False, most=most)
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             for i, j, buf, off in K.runs(batch.column(1)):
-                gone = R.covered_units(batch.column(2).slice(i, j - i), off, len(buf), window)
+                gone = X.covered_units(batch.column(2).slice(i, j - i), off, len(buf), window)
                 total = np.concatenate([[0], np.cumsum(gone)])
                 opens = gone.copy()
                 opens[1:] &= ~gone[:-1]
@@ -121,4 +172,4 @@ def remove_repeated_bytes(spark: SparkSession, docs: DataFrame, id_col: str = "d
                     names=KEPT.names,
                 )
 
-    return found.mapInArrow(cut, KEPT)
+    return matched.mapInArrow(cut, KEPT)
