@@ -15,8 +15,8 @@ from .shared import documents, fields
 
 #: Labelled texts of each class that are used, at most: half for the dictionaries, half for the calibration.
 SAMPLE = 1500
-#: Longest text, in characters, that a sample may hold (a bound for the driver; scoring has none).
-SAMPLE_CHARS = 20_000
+#: Characters of one text in the sample, at most: longer ones give SLICES equal slices, evenly spaced over the whole text (a bound for the driver; scoring has none).
+SAMPLE_CHARS, SLICES = 20_000, 20
 DICT_BYTES = 64 << 10
 LEVEL = 1
 #: A text is compressed in pieces of so many bytes, each against a fresh dictionary, so that long texts are not judged by their first words alone.
@@ -107,11 +107,20 @@ def fit(good: list[bytes], bad: list[bytes]) -> CompressionModel:
     return model
 
 
+def _sliced(text: F.Column, most: int) -> F.Column:
+    """A text of ``most`` characters at most: itself, or evenly spaced slices of it."""
+    n, each = F.length(text), most // SLICES
+    at = lambda k: (1 + F.floor((n - each) * k / F.lit(SLICES - 1))).cast("int")
+    return F.when(n <= most, text).otherwise(F.concat(*(F.substring(text, at(k), F.lit(each)) for k in range(SLICES))))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> tuple[list[bytes], list[bytes]]:
     """Texts of both classes, ``sample`` of each at most, chosen by a hash of the id.
 
-    Ids are picked from the labels alone, so only the picked rows' texts move; their
-    number and length are bounded, hence the broadcast and the collect are too.
+    Ids are picked from the labels alone, so only the picked rows' texts move, one for
+    each id (the smallest, if rows share it); their number and length are bounded, hence
+    the broadcast and the collect are too.  Null ids, null texts and other labels
+    than 0 and 1 take no part.
     """
     labels = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     order = (F.md5(F.col("doc_id").cast("string")), F.col("doc_id"))
@@ -119,9 +128,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     for label in (0, 1):
         part = labels.where(F.col("label") == label).distinct().orderBy(*order).limit(sample)
         picked = part if picked is None else picked.unionByName(part)
-    texts = documents(docs, id_col, text_col).where(F.length("text") <= sample_chars)
-    rows = texts.join(F.broadcast(picked), "doc_id").select("label", "doc_id", "text").limit(4 * sample).collect()
-    rows.sort(key=lambda r: (r.label, r.doc_id, r.text))
+    texts = documents(docs, id_col, text_col).where("text is not null").join(F.broadcast(picked), "doc_id")
+    rows = texts.select("label", "doc_id", _sliced(F.col("text"), sample_chars).alias("text")).groupBy("label", "doc_id").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: (r.label, r.doc_id))
     pick = lambda label: [r.text.encode() for r in rows if r.label == label]
     return pick(1), pick(0)
 
@@ -145,7 +154,11 @@ def quality_scores(spark: SparkSession, docs: DataFrame, model: CompressionModel
 
 
 def filter_by_quality(spark: SparkSession, docs: DataFrame, model: CompressionModel, threshold: float, text_col: str = "text") -> DataFrame:
-    """The rows whose text scores ``threshold`` or more, with all their columns."""
+    """The rows whose text scores ``threshold`` or more, with all their columns, whatever their names.
+
+    Null, empty and blank texts score the prior; each of several equal rows is judged
+    alone.  Texts are scored whole, in pieces.
+    """
     shared = spark.sparkContext.broadcast(model)
     where = docs.columns.index(text_col)
 

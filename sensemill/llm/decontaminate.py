@@ -23,33 +23,61 @@ HITS = fields(doc_id="long", text="string", n_words="long", hits="array<int>", i
 _FILTER_BITS = 20
 
 
+class Grams:
+    """Windows of one length: sorted pairs of fingerprints in columns, and the items of each, end to end.
+
+    Some 30 bytes a window, so a block of benchmark text is bounded in memory too.
+    """
+
+    def __init__(self, first: np.ndarray, second: np.ndarray, item: np.ndarray):
+        order = np.lexsort((item, second, first))
+        first, second, item = first[order], second[order], item[order]
+        fresh = np.ones(len(first), bool)
+        fresh[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+        apart = fresh.copy()
+        apart[1:] |= item[1:] != item[:-1]
+        at = np.flatnonzero(fresh)
+        #: The second fingerprint verifies a hit; windows at[k]..at[k + 1] of ``items`` have gram k.
+        self.first, self.second, self.items = first[at], second[at], item[apart]
+        self.at = np.append(np.cumsum(apart)[at] - 1, len(self.items))
+        self.mask = np.zeros(1 << _FILTER_BITS, bool)
+        self.mask[self.first >> np.uint64(64 - _FILTER_BITS)] = True
+
+    def lookup(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The index of each pair of fingerprints, -1 for none."""
+        out = np.full(len(one), -1)
+        left = np.arange(len(one))
+        k = np.searchsorted(self.first, one)
+        while len(left):  # twice or more only where first fingerprints collide
+            same = (k < len(self.first)) & (self.first[np.minimum(k, len(self.first) - 1)] == one[left])
+            left, k = left[same], k[same]
+            right = self.second[k] == two[left]
+            out[left[right]] = k[right]
+            left, k = left[~right], k[~right] + 1
+        return out
+
+
 class GramSet:
-    """Fingerprints of all windows of some items, with the items that hold each."""
+    """Fingerprints of all windows of some items, with the items that hold each; an item shorter than a window is one window."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], ngram: int = NGRAM):
         self.ngram = ngram
-        column = pa.array([t or "" for _, t in items], pa.large_string())
-        by_length: dict[int, dict[tuple[int, int], set[str | None]]] = {}
-        for i, _j, buf, off in K.runs(column):
+        self.names = sorted({name for name, _ in items if name is not None})
+        known = {name: k for k, name in enumerate(self.names)}
+        number = np.array([known.get(name, -1) for name, _ in items], np.int32)
+        parts: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        for i, _j, buf, off in K.runs(pa.array([t or "" for _, t in items], pa.large_string())):
             start, end, cuts = K.word_spans(buf, off, K.WORD_ALNUM)
             x = K.word_values(buf, start, end, lower=True)
             rolls = [K.Rolling(x, 0), K.Rolling(x, 1)]
-            for r in range(len(off) - 1):
-                n = int(cuts[r + 1] - cuts[r])
-                if not n:
-                    continue
-                length = min(n, ngram)
-                at = np.arange(cuts[r], cuts[r + 1] - length + 1)
-                for a, b in zip(rolls[0].of(at, at + length).tolist(), rolls[1].of(at, at + length).tolist(), strict=True):
-                    by_length.setdefault(length, {}).setdefault((a, b), set()).add(items[i + r][0])
-        #: By length: sorted first fingerprints, their second ones, the items of each, and a bit filter.
-        self.tables = {}
-        for length, grams in by_length.items():
-            keys = sorted(grams)
-            first = np.array([k[0] for k in keys], np.uint64)
-            mask = np.zeros(1 << _FILTER_BITS, bool)
-            mask[first >> np.uint64(64 - _FILTER_BITS)] = True
-            self.tables[length] = (first, {k: sorted(x for x in grams[k] if x is not None) for k in keys}, mask)
+            size = np.minimum(np.diff(cuts), ngram)
+            for length in np.unique(size[size > 0]).tolist():
+                rows = np.flatnonzero(size == length)
+                count = np.diff(cuts)[rows] - length + 1
+                row = np.repeat(rows, count)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + cuts[row]
+                parts.setdefault(length, []).append((*(r.of(at, at + length) for r in rolls), number[i + row]))
+        self.tables = {length: Grams(*map(np.concatenate, zip(*found, strict=True))) for length, found in parts.items()}
 
     def find(self, x: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, list[set[str]]]:
         """Which words are inside an occurrence, and each text's items."""
@@ -59,24 +87,20 @@ class GramSet:
         if not n:
             return np.zeros(0, bool), found
         one, two = K.Rolling(x, 0), None
-        for length, (first, items, mask) in self.tables.items():
+        for length, grams in self.tables.items():
             h = one.every(length)
-            maybe = np.flatnonzero(mask[h >> np.uint64(64 - _FILTER_BITS)])
-            if not len(maybe):
-                continue
+            maybe = np.flatnonzero(grams.mask[h >> np.uint64(64 - _FILTER_BITS)])
             text = np.searchsorted(cuts, maybe, side="right") - 1
             inside = maybe + length <= cuts[text + 1]
             maybe, text = maybe[inside], text[inside]
-            known = np.isin(h[maybe], first)
-            maybe, text = maybe[known], text[known]
             if not len(maybe):
                 continue
             two = two or K.Rolling(x, 1)
-            for at, t, a, b in zip(maybe.tolist(), text.tolist(), h[maybe].tolist(), two.of(maybe, maybe + length).tolist(), strict=True):
-                if (a, b) in items:  # the second fingerprint verifies the hit
-                    delta[at] += 1
-                    delta[at + length] -= 1
-                    found[t].update(items[a, b])
+            gram = grams.lookup(h[maybe], two.of(maybe, maybe + length))
+            hit = gram >= 0
+            delta += np.bincount(maybe[hit], minlength=n + 1) - np.bincount(maybe[hit] + length, minlength=n + 1)
+            for t, k in np.unique(np.stack([text[hit], gram[hit]], axis=1), axis=0).tolist():
+                found[t].update(self.names[i] for i in grams.items[grams.at[k] : grams.at[k + 1]].tolist() if i >= 0)
         return np.cumsum(delta[:n]) > 0, found
 
 
@@ -101,7 +125,8 @@ def benchmark_hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, i
     one.  Benchmarks beyond ``block_bytes`` are handled block by block over a table
     kept in the shared folder, so a broadcast never outgrows its bound.  Null and
     empty texts have no words; null items or texts hold no windows; items without id
-    mark words but are not named; repeated rows are judged each on its own.
+    mark words but are not named; repeated rows are judged each on its own; very long
+    texts are scanned whole, with memory in proportion to the longest one.
     """
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text"))
     blocks = _blocks(items, block_bytes)

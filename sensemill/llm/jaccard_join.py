@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -431,11 +432,13 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
 def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of one document of each component, that with the smallest id, with all their columns.
 
-    Documents without words link with nothing and stay.  Rows that repeat the kept
-    id and text all stay.
+    Documents without words (null, empty and blank texts) link with nothing and stay.
+    Rows that repeat the kept id and text all stay; columns may have any names.
     """
     found = jaccard_components(spark, docs, id_col, text_col, shingle, percent)
-    keep = found.where("n_shingles = 0 or doc_id <=> component_id").groupBy(F.col("doc_id").alias("_d"), F.col("version").alias("_v"), "component_id").agg(F.max("n_shingles").alias("_n"))
-    keep = Workspace(spark, "keep-one").keep(keep.select("_d", "_v").distinct(), "kept")
-    mine = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return docs.join(keep.hint("shuffle_hash"), F.col(id_col).cast("long").eqNullSafe(F.col("_d")) & (mine == F.col("_v")), "left_semi")
+    mark = uuid.uuid4().hex
+    d, v = f"d_{mark}", f"v_{mark}"
+    keep = found.where("n_shingles = 0 or doc_id <=> component_id").select(F.col("doc_id").alias(d), F.col("version").alias(v)).distinct()
+    keep = Workspace(spark, "keep-one").keep(keep, "kept")
+    mine = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    return docs.join(keep.hint("shuffle_hash"), docs[id_col].cast("long").eqNullSafe(F.col(d)) & (mine == F.col(v)), "left_semi")

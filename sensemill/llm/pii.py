@@ -64,7 +64,7 @@ def detect(text: str) -> list[Span]:
         if 12 <= len(digits) <= 19 and luhn(digits):
             out.append(("card", m.start(), m.end()))
     for m in (m for chain in _DOTTED.finditer(text) if chain[0].count(".") >= 3 for m in _IP.finditer(text, chain.start(), chain.end())):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (p.lstrip("0") for p in m[0].split("."))):
             out.append(("ip", m.start(), m.end()))
     if "+" in text:
         for m in _PHONE.finditer(text):
@@ -82,19 +82,26 @@ LOOK_ALIKES = {
     "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ѕ": "S", "Т": "T", "У": "Y", "Х": "X",
     "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "υ": "u", "χ": "x",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
+    "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "ո": "n", "օ": "o", "ս": "u", "հ": "h", "ɡ": "g", "ı": "i",
     "。": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", " ": " ",
 }
 
-# Spelled digits.
-SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+# Digits spelled in English, German, French and Spanish.
+SPELLED = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+}
+# Words for the signs @ . + in these languages.
+AT_WORDS, DOT_WORDS, PLUS_WORDS = ("at", "ät", "arobase", "arroba"), ("dot", "punkt", "point", "punto"), ("plus", "más")
 
-_WORD = "|".join(SPELLED)
+_WORD, _DOT, _AT, _PLUS = ("|".join(w) for w in (SPELLED, DOT_WORDS, AT_WORDS, PLUS_WORDS))
 #: At least four spelled digits in a row, single figures among them allowed.
-_SPELLED_RUN = re.compile(rf"(?i)\b(?:plus[ -]+)?(?:(?:{_WORD})|[0-9])(?:[ .,-]*[ .,-](?:{_WORD}|[0-9]|dot|point)\b){{3,}}")
-_SPELLED_TOKEN = re.compile(rf"(?i)(?:plus|{_WORD}|dot|point|[0-9])\b")
-_BRACKET_AT = re.compile(r"(?i)\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*")
-_BRACKETED = re.compile(r"(?i)[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]")
-_BRACKET_DOT = re.compile(r"(?i)\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*")
+_SPELLED_RUN = re.compile(rf"(?i)\b(?:(?:{_PLUS})[ -]+)?(?:(?:{_WORD})|[0-9])(?:[ .,-]*[ .,-](?:{_WORD}|[0-9]|{_DOT})\b){{3,}}")
+_SPELLED_TOKEN = re.compile(rf"(?i)(?:{_PLUS}|{_WORD}|{_DOT}|[0-9])\b")
+#: A sign in brackets; blanks around it go too.
+_BRACKETED = re.compile(rf"(?i)[\[({{<]\s*(?:(?P<at>{_AT}|@)|{_DOT}|\.)\s*[\])}}>]")
 # Last labels that an address spelled in bare words may end with.
 BARE_ENDS = ("com", "org", "net", "edu", "gov", "info", "biz", "io", "co", "eu", "uk", "de", "fr", "es", "it", "nl", "us", "ca", "au", "jp", "ru", "ch", "at", "be", "se")
 
@@ -102,22 +109,38 @@ BARE_ENDS = ("com", "org", "net", "edu", "gov", "info", "biz", "io", "co", "eu",
 _NO_HOST = "a|an|the|this|that|these|those|each|every|any|some|one|no|its|his|her|their|our|your|my|which|what"
 _NO_END = "and|or|on|of|the|an|for|with|from|that|this|these|those|was|were|are|has|had|have|but|not|than|then|into|onto|over|under|near|which|who|when|where|while|one|two"
 
-_MORE = r"(?:\s+dot\s+|\.)"
-_NAME, _LABELS = rf"[a-z0-9_%+-]++(?:{_MORE}[a-z0-9_%+-]++)*", rf"[a-z0-9-]++(?:{_MORE}[a-z0-9-]++)*?"
+_MORE = rf"(?:\s+(?:{_DOT})\s+|\.)"
 _END = rf"(?!(?:{_NO_END})\b)[a-z]{{2,}}+(?![a-z0-9_-])"
+_LABELS = rf"[a-z0-9-]++(?:{_MORE}[a-z0-9-]++)*?"
+#: Labels joined by dots, spelled or not: every text is one sequence of these, so each is read once as a name.
+_CHAIN = re.compile(rf"(?i)[a-z0-9_%+-]++(?:{_MORE}[a-z0-9_%+-]++)*+")
+_NAMELIKE = re.compile(rf"(?i)[0-9_%+]|{_MORE}")
+_BARE_AT = re.compile(rf"(?i)(?P<word>\s+(?:{_AT})\s+)|@")
 #: Bare words count only together: "name at host dot label", the label of letters, and the
 #: host's first word and the label no common words of prose unless the label is a known end.
+_SPELLED_HOST = re.compile(rf"(?i)(?:{_LABELS}\s+(?:{_DOT})\s+(?:{'|'.join(BARE_ENDS)})\b|(?!(?:{_NO_HOST})\b){_LABELS}\s+(?:{_DOT})\s+{_END})(?:{_MORE}{_END})*")
 #: A spelled "at" alone counts before a dotted host, behind a name that is no mere word: one
 #: with a letter and a dot (spelled or not), underscore, per cent sign, plus or figure.
-_BARE = re.compile(
-    r"(?i)(?<![a-z0-9_%+-])(?<![a-z0-9_%+-]\.)"
-    rf"(?:{_NAME}(?:\s+at\s+|@)(?:{_LABELS}\s+dot\s+(?:{'|'.join(BARE_ENDS)})\b|(?!(?:{_NO_HOST})\b){_LABELS}\s+dot\s+{_END})"
-    rf"|(?=[a-z0-9_%+.-]*[a-z])(?=[a-z0-9-]*[0-9_%+]|[a-z0-9_%+-]++{_MORE}){_NAME}\s+at\s+[a-z0-9-]++(?:\.[a-z0-9-]++)*?\.{_END})"
-    rf"(?:{_MORE}{_END})*"
-)
-#: What every match of _BARE holds.
-_BARE_CORE = re.compile(r"(?i)\sdot\s|\sat\s+[a-z0-9-]+\.[a-z0-9-]")
-_BARE_TOKEN = re.compile(r"(?i)\s+(at|dot)\s+")
+_PLAIN_HOST = re.compile(rf"(?i)[a-z0-9-]++(?:\.[a-z0-9-]++)*?\.{_END}(?:{_MORE}{_END})*")
+#: What every address in bare words holds.
+_BARE_CORE = re.compile(rf"(?i)\s(?:{_DOT})\s|\s(?:{_AT})\s+[a-z0-9-]+\.[a-z0-9-]")
+_BARE_TOKEN = re.compile(rf"(?i)\s+(?:(?P<at>{_AT})|{_DOT})\s+")
+
+
+def _bare_addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of addresses in bare words; a chain is read as a name once and as a host once."""
+    done = 0
+    while chain := _CHAIN.search(text, done):
+        done = chain.end()
+        at = _BARE_AT.match(text, done)
+        if not at:
+            continue
+        host = _SPELLED_HOST.match(text, at.end())
+        if not host and at["word"] and any(c.isalpha() for c in chain[0]) and _NAMELIKE.search(chain[0]):
+            host = _PLAIN_HOST.match(text, at.end())
+        if host:
+            yield chain.start(), host.end()
+            done = host.end()
 
 
 class Aligned:
@@ -170,7 +193,7 @@ def _digits(a: Aligned) -> Iterator[tuple[int, int, str]]:
         at = run.start()
         for m in _SPELLED_TOKEN.finditer(a.text, run.start(), run.end()):
             word = m[0].lower()
-            new = "+" if word == "plus" else "." if word in ("dot", "point") else SPELLED.get(word, word)
+            new = "+" if word in PLUS_WORDS else "." if word in DOT_WORDS else SPELLED.get(word, word)
             if m.start() > at:
                 yield at, m.start(), ""
             yield m.start(), m.end(), new
@@ -178,25 +201,30 @@ def _digits(a: Aligned) -> Iterator[tuple[int, int, str]]:
 
 
 def _brackets(a: Aligned) -> Iterator[tuple[int, int, str]]:
-    found = [(m.start(), m.end(), new) for rx, new in ((_BRACKET_AT, "@"), (_BRACKET_DOT, ".")) for m in rx.finditer(a.text)]
-    end = 0
-    for s, e, new in sorted(found):
-        if s >= end:
-            yield s, e, new
-            end = e
+    done = 0
+    for m in _BRACKETED.finditer(a.text):
+        s, e = m.span()
+        while s > done and a.text[s - 1].isspace():
+            s -= 1
+        while e < len(a.text) and a.text[e].isspace():
+            e += 1
+        yield s, e, "@" if m["at"] else "."
+        done = e
 
 
 def _bare(a: Aligned) -> Iterator[tuple[int, int, str]]:
-    for whole in _BARE.finditer(a.text):
-        for m in _BARE_TOKEN.finditer(a.text, whole.start(), whole.end()):
-            yield m.start(), m.end(), "@" if m[1].lower() == "at" else "."
+    if not _BARE_CORE.search(a.text):
+        return
+    for s, e in _bare_addresses(a.text):
+        for m in _BARE_TOKEN.finditer(a.text, s, e):
+            yield m.start(), m.end(), "@" if m["at"] else "."
 
 
 def _worth_it(text: str) -> bool:
     """Does any transducer rewrite something?  As long as none does, each sees the text itself."""
     if not text.isascii() and any(plain_character(c) != c for c in set(text)):
         return True
-    return bool(_BRACKETED.search(text) or _SPELLED_RUN.search(text) or _BARE_CORE.search(text) and _BARE.search(text))
+    return bool(_BRACKETED.search(text) or _SPELLED_RUN.search(text) or _BARE_CORE.search(text) and any(True for _ in _bare_addresses(text)))
 
 
 def detect_disguised(text: str, base: list[Span]) -> list[Span]:
@@ -237,7 +265,9 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     ``n_email``, ``n_ip``, ``n_card``, ``n_phone`` and ``base_sha256`` come from the
     plain rules; ``spans`` has these and the disguised ones (``n_disguised``), as
     kind:start:end in code points.  Null and empty texts have none; repeated rows and
-    null ids are treated each on their own.  No exchange.
+    null ids are treated each on their own; other columns don't matter.  No rule reads a
+    stretch of text more than a few times, so time follows the length of the longest text.
+    No exchange.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ QUALITY_THRESHOLD = 0.3
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.repetition_quality(table(spark, sf_dir, "documents"))
+    return repetition.repetition_quality(table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

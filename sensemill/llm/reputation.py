@@ -20,6 +20,9 @@ THRESHOLD = 0.5
 #: Limits of the estimated prior strength, in pages.
 LEAST_STRENGTH, MOST_STRENGTH = 1.0, 1000.0
 
+# Labels that, before a country's two letters, belong to the suffix ("co.uk").
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gob", "gov", "gouv", "mil", "ne", "net", "or", "org")
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -49,6 +52,17 @@ def longest_rule(rules: list[Rule], host: Column, path: Column) -> tuple[Column,
     return name, verdict
 
 
+def public_suffix(host: Column) -> Column:
+    """The last label, or the last two where they are like "co.uk"."""
+    two = F.substring_index(host, ".", -2)
+    return F.when(F.regexp_like(two, F.lit(rf"^(?:{'|'.join(SECOND_LEVEL)})\.[a-z]{{2}}$")), two).otherwise(F.substring_index(host, ".", -1))
+
+
+def registered_domain(host: Column, suffix: Column) -> Column:
+    """The suffix and one label more; a host without one is its own domain."""
+    return F.when(F.instr(suffix, ".") == 0, F.substring_index(host, ".", -2)).otherwise(F.substring_index(host, ".", -3))
+
+
 def _strength(units: DataFrame) -> tuple[float, float]:
     """Overall share of good outcomes and prior strength of one level, by moments of the beta-binomial.
 
@@ -77,7 +91,7 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     get their domain's posterior mean.  Returns host, n, good, mean, upper.
     """
     hosts = outcomes.groupBy("host").agg(F.count("good").alias("n"), F.count_if(F.col("good")).alias("good"))
-    hosts = hosts.withColumns({"domain": F.substring_index("host", ".", -2), "suffix": F.substring_index("host", ".", -1)})
+    hosts = hosts.withColumn("suffix", public_suffix(F.col("host"))).withColumn("domain", registered_domain(F.col("host"), F.col("suffix")))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     overall, s3 = _strength(suffixes)
