@@ -138,8 +138,10 @@ def kinds_of(segments: DataFrame) -> DataFrame:
 
 def in_groups(kinds: DataFrame) -> DataFrame:
     """Kinds whose anchor stands twice or more, with ``k``, the kinds of that anchor."""
-    groups = kinds.groupBy("anchor").agg(F.sum("n").alias("_n"), F.count("*").alias("k")).where("_n > 1").drop("_n")
-    return kinds.join(groups, "anchor")
+    # all columns take part, so both sides of the join read one and the same exchange of the kinds
+    every = F.max(F.struct("d", "v", "f", "gap", "span")).alias("_every")
+    groups = kinds.groupBy("anchor").agg(F.sum("n").alias("_n"), F.count("*").alias("k"), every).where("_n > 1 and _every is not null")
+    return kinds.join(groups.select("anchor", "k"), "anchor")
 
 
 # ------------------------------------------------------------------- contexts
@@ -249,8 +251,7 @@ def pair_hits(rows: DataFrame, units: Units, window: int, directed: bool) -> Dat
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays([*(table[c].combine_chunks().take(at) for c in ("key", "c1", "c2")), pa.array(near.astype(np.int32)), pa.array(far.astype(np.int32))], names=HITS.names)
 
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.select("key", "c1", "c2", "d", "gap", "near", "far", "content").repartition(tasks, "key").sortWithinPartitions("key", "d")
+    rows = rows.select("key", "c1", "c2", "d", "gap", "near", "far", "content").repartition("key").sortWithinPartitions("key", "d")
     return rows.mapInArrow(run, HITS)
 
 
@@ -313,31 +314,31 @@ def scan_windows(rows: DataFrame, units: Units, window: int) -> DataFrame:
 def _large_hits(work: Workspace, contexts: DataFrame, units: Units, window: int, directed: bool, most: int, block: int) -> DataFrame:
     """Hits of the kinds of large groups: groups of blocks, pair by pair where these are small, else window by window."""
     cut = ["key", "e1", "e2"]
-    blocks = work.keep(scan_blocks(contexts, units, window, block), "blocks")
+    blocks = work.keep(scan_blocks(contexts, units, window, block), "blocks", scanned=True)
     lead = F.min(F.struct("d", *KIND)).alias("lead")
     parts = blocks.groupBy(*cut).agg(F.sum("n").alias("n"), lead, F.min("near").alias("near"), F.min("far").alias("far"))
     parts = work.keep(parts, "block-kinds")
-    groups = work.keep(parts.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "block-groups")
+    groups = parts.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
     differing = parts.join(groups, "key").select(*cut, "n", "k", F.col("lead.d").alias("d"), *(F.col(f"lead.{c}").alias(c) for c in KIND), "near", "far")
     met = work.keep(differing.join(contexts.select(*KIND, "gap", "content"), KIND), "block-contexts")
     small = pair_hits(met.where(F.col("k") <= most).drop(*KIND).withColumnsRenamed({"e1": "c1", "e2": "c2"}), units, window, directed)
-    windows = work.keep(scan_windows(met.where(F.col("k") > most), units, window), "windows")
+    windows = work.keep(scan_windows(met.where(F.col("k") > most), units, window), "windows", scanned=True)
     same = windows.groupBy("h1", "h2").agg(F.min("d").alias("least"), F.max("d").alias("most"), F.sum("n").alias("times"))
-    same = work.keep(same.where("least < most" if directed else "times > 1").drop("most", "times"), "windows-shared")
+    same = same.where("least < most" if directed else "times > 1").drop("most", "times")
     single = windows.join(same, ["h1", "h2"]).where("d > least" if directed else "true").select("key", F.col("e1").alias("c1"), F.col("e2").alias("c2"), F.col("at").alias("near"), F.col("at").alias("far"))
-    hits = work.keep(small.unionByName(single), "block-hits").withColumnsRenamed({"c1": "e1", "c2": "e2", "near": "_near", "far": "_far"})
+    hits = small.unionByName(single).withColumnsRenamed({"c1": "e1", "c2": "e2", "near": "_near", "far": "_far"})
     placed = blocks.join(parts.select(*cut, F.col("n").alias("times"), F.col("lead.d").alias("least")), cut)
     whole = F.col("d") > F.col("least") if directed else F.col("times") > 1
     full = placed.where(whole).select(F.col("anchor").alias("key"), "c1", "c2", "near", "far")
     rest = placed.where(~whole).join(hits, cut).select(F.col("anchor").alias("key"), "c1", "c2", F.col("_near").alias("near"), F.col("_far").alias("far"))
-    return work.keep(full.unionByName(rest), "large-hits")
+    return full.unionByName(rest)
 
 
 def find_hits(work: Workspace, docs: DataFrame, kinds: DataFrame, units: Units, window: int, directed: bool, most: int = MOST, block: int = BLOCK) -> DataFrame:
     """For each kind (with ``k``) that has any: its hits, windows shared with other kinds of its anchor, as ways to the anchor."""
     contexts = work.keep(scan_contexts(docs, kinds.where("k > 1"), units, window), "contexts")
     rows = contexts.where(F.col("k") <= most).withColumns({"near": F.col("gap") - F.col("span"), "far": F.col("gap"), "key": F.col("anchor")})
-    hits = work.keep(pair_hits(rows, units, window, directed), "hits")
+    hits = pair_hits(rows, units, window, directed)
     large = contexts.where(F.col("k") > most)
     if not large.isEmpty():
         hits = hits.unionByName(_large_hits(work, large, units, window, directed, most, block))
@@ -352,13 +353,12 @@ def find_repeats(work: Workspace, docs: DataFrame, segments: DataFrame, kinds: D
     """
     hits = find_hits(work, docs, kinds, units, window, directed, most, block)
     known = kinds.join(hits, KIND, "left").where("n > 1 or hits is not null").select(*KIND, "n", "d", "hits")
-    met = segments.join(work.keep(known, "known"), KIND)
+    met = segments.join(known, KIND)
     whole = own_id() > F.col("d") if directed else F.col("n") > 1
     place = F.col("first") + F.col("gap")
     runs = F.transform("hits", lambda h: F.struct((place - h["far"]).alias("first"), (place - h["near"]).alias("last")))
     found = met.select("doc_id", "version", F.when(whole, F.array(F.struct("first", "last"))).otherwise(runs).alias("hits")).where("hits is not null")
     lists = found.groupBy(own_id().alias("d"), F.col("version").alias("v")).agg(F.flatten(F.collect_list("hits")).alias("hits"))
-    lists = work.keep(lists, "lists")
     none = F.array().cast("array<struct<first:int,last:int>>")
     met = docs.join(lists.hint("shuffle_hash"), (docs["version"] == F.col("v")) & (F.coalesce(docs["doc_id"], F.lit(NO_ID)) == F.col("d")), "left")
     return met.select("doc_id", "text", F.coalesce("hits", none).alias("hits"))

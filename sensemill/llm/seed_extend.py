@@ -35,11 +35,10 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     with equal ids don't repeat from one another.  Very long texts are scanned whole,
     with memory in proportion to the longest one.
     """
-    work = Workspace(spark, "seed-extend")
+    work = Workspace(spark, "seed-extend", docs)
     read = X.versioned(documents(docs, id_col, text_col))
-    table = work.keep(X.scan_segments(read, X.WORDS, window, seed), "segments")
-    kinds = work.keep(X.in_groups(work.keep(X.kinds_of(table), "all-kinds")), "kinds")
-    work.drop("all-kinds")
+    table = work.keep(X.scan_segments(read, X.WORDS, window, seed), "segments", scanned=True)
+    kinds = work.keep(X.in_groups(X.kinds_of(table)), "kinds")
     found = X.find_repeats(work, read, table, kinds, X.WORDS, window, directed=True, most=most)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

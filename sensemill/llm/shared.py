@@ -1,93 +1,17 @@
-"""Shared folders, table access and lineage cuts for the corpus operators."""
+"""Table access, schemas and filters of the corpus operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bits of the map of needed texts: bounded, whatever the corpus; where it fills up, more texts move and the join drops them.
-NEEDED_BITS = 24
-_OWN: list[tempfile.TemporaryDirectory] = []
-#: Spark's setting that shuffle files go as soon as the statement that made them has ended.
-_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-#: Spark's bound of the bytes of one Arrow batch, and what the operators set it to where the session has Spark's own default.
-_BATCH_BYTES, BATCH_BYTES, _DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20, 64 << 20
+from ..sources.workspace import CLEAN_UP, Workspace, setting, shared_dir
 
+__all__ = ["CLEAN_UP", "Workspace", "documents", "fields", "maybe_needed", "setting", "shared_dir", "table"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where all runs in one process on one machine (tests) and the session names
-    none, a temporary folder is made; on a cluster that is an error, as executors
-    would write to disks of their own.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError(f"master {master}: set spark.checkpoint.dir to a folder that driver and executors share")
-        if not _OWN:
-            _OWN.append(tempfile.TemporaryDirectory(prefix="sensemill-"))
-        at = f"file://{_OWN[0].name}"
-    return at.rstrip("/")
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches of BATCH_BYTES at most (or one row), unless the session has a bound of its own."""
-    now = spark.conf.get(_BATCH_BYTES, None)
-    if now is None or now.rstrip("b") == str(_DEFAULT_BATCH):
-        spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
-
-
-@contextmanager
-def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    """A session setting for the statements inside, which must be executed there."""
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-
-
-class Workspace:
-    """Tables written to the shared folder during one operator call; they go when the driver's JVM ends, if not before."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        bound_batches(spark)
-        path, fs = self._hadoop(self.root)
-        fs.deleteOnExit(path)
-
-    def _hadoop(self, at: str):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write a table and read it back: cuts the lineage, and survives lost executors.
-
-        What follows reads the table alone, so the shuffle files behind it go at once.
-        """
-        with setting(self.spark, _CLEAN_UP, "true"):
-            df.write.mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, name: str) -> None:
-        """Delete a table that nothing reads any more."""
-        path, fs = self._hadoop(self.path(name))
-        fs.delete(path, True)
+#: Bits of the map of needed texts: bounded, whatever the corpus; where it fills up, more texts move and the join drops them.
+NEEDED_BITS = 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 
 from . import extend as X
 from . import kernel as K
-from .shared import Workspace, documents, fields, setting
+from .shared import CLEAN_UP, Workspace, documents, fields, setting
 
 WINDOW = 400
 #: Bytes of an anchor.
 SEED = 96
-BATCHES = 4
+BATCHES = 3
 #: Spark's setting that a bucket in one sorted file counts as sorted.
 _SORTED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
@@ -52,9 +52,8 @@ class Level:
 class SuffixIndex:
     """Levels of sorted suffix tables, the largest first."""
 
-    def __init__(self, work: Workspace):
-        self.work, self.spark = work, work.spark
-        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+    def __init__(self, work: Workspace, buckets: int):
+        self.work, self.spark, self.buckets = work, work.spark, buckets
         self.levels: list[Level] = []
 
     def _write(self, df: DataFrame, batches: int) -> Level:
@@ -114,9 +113,9 @@ class SuffixIndex:
 
 def index_batch(index: SuffixIndex, segments: DataFrame, name: str) -> DataFrame:
     """Scan a batch against the index, then add it; the entries found, of the batch and of the levels."""
-    with setting(index.spark, _SORTED, "true"):
+    with setting(index.spark, _SORTED, "true"), setting(index.spark, CLEAN_UP, "true"):
         new = index.array(segments)
-        found = index.work.keep(index.scan(new), name)
+        found = index.work.keep(index.scan(new), name, scanned=True)
         index.add(new)
     return found
 
@@ -134,19 +133,17 @@ def remove_repeated_bytes(spark: SparkSession, docs: DataFrame, id_col: str = "d
     remove each other's long strings.  Very long texts are scanned whole, with memory
     in proportion to the longest one.
     """
-    work = Workspace(spark, "suffix-index")
+    work = Workspace(spark, "suffix-index", docs)
     read = X.versioned(documents(docs, id_col, text_col))
-    index, tables, found = SuffixIndex(work), [], []
-    for b in range(batches):  # a batch is what arrives together; here a hash deals them
-        batch = read if batches == 1 else read.where(F.pmod("version", F.lit(batches)) == b)
-        tables.append(work.keep(X.scan_segments(batch, X.BYTES, window, seed), f"segments-{b}"))
-        found.append(index_batch(index, tables[-1], f"found-{b}"))
+    segments = work.keep(X.scan_segments(read, X.BYTES, window, seed), "segments", scanned=True)
+    index = SuffixIndex(work, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # a batch is what arrives together; here a hash deals the texts
+    found = [index_batch(index, segments.where(F.pmod("version", F.lit(batches)) == b), f"found-{b}") for b in range(batches)]
     index.close()
     lead = F.min(F.struct("d", "v", "f")).alias("lead")
     entries = reduce(DataFrame.unionByName, found).groupBy(*X.KIND).agg(F.max("n").alias("n"), lead, F.min("gap").alias("gap"), F.min("span").alias("span"))
-    entries = work.keep(entries.select(*X.KIND, "n", F.col("lead.d").alias("d"), F.col("lead.v").alias("v"), F.col("lead.f").alias("f"), "gap", "span"), "entries")
+    entries = entries.select(*X.KIND, "n", F.col("lead.d").alias("d"), F.col("lead.v").alias("v"), F.col("lead.f").alias("f"), "gap", "span")
     kinds = work.keep(X.in_groups(entries), "kinds")
-    segments = reduce(DataFrame.unionByName, tables)
     matched = X.find_repeats(work, read, segments, kinds, X.BYTES, window, directed=False, most=most)
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

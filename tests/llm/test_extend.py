@@ -88,7 +88,7 @@ def test_levels_are_neither_exchanged_nor_sorted_again(spark):
     work = Workspace(spark, "levels")
     rows, schema = awkward(7)
     docs = X.versioned(documents(spark.createDataFrame(rows, schema)))
-    index = suffix_index.SuffixIndex(work)
+    index = suffix_index.SuffixIndex(work, 4)
     with setting(spark, suffix_index._SORTED, "true"), setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
         for b in range(7):
             new = index.array(X.scan_segments(docs.where(f"pmod(version, 7) = {b}"), X.BYTES, 400, 96))
