@@ -60,6 +60,12 @@ def symmetric_kl(m1: Column, v1: Column, m2: Column, v2: Column, literal: bool =
     return (gaussian_kl(m1, v1, m2, v2, literal) + gaussian_kl(m2, v2, m1, v1, literal)) / 2
 
 
+def two_modality_kl(m1: Column, v1: Column, m2: Column, v2: Column, cut: int, size: int, literal: bool = False) -> Column:
+    """Mean of the symmetric KL divergences of two modalities, cut at position ``cut`` of ``size``."""
+    parts = ((1, cut), (cut + 1, size - cut))
+    return sum((symmetric_kl(*(F.slice(x, s, n) for x in (m1, v1, m2, v2)), literal) for s, n in parts), F.lit(0.0)) / 2
+
+
 def repeated(v: Column, times: int) -> Column:
     return F.flatten(F.array_repeat(v, times))
 

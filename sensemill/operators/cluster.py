@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import vectors as VO
 from ..functions import vectors as V
+from ..sources.workspace import Workspace, numbered
 
 #: Rows of one group that methods with a full distance matrix take; larger groups are refused, not cut.
 MOST_ROWS = 5000
@@ -101,11 +101,12 @@ def gap_rule(gaps: list[float], errors: list[float]) -> int:
     return len(gaps) - 1
 
 
-def k_by_gap(x: np.ndarray, most: int, references: int = 100, metric: str = "cosine", seed: int = 0) -> tuple[int, np.ndarray]:
-    """Number of clusters by the gap statistic, ascending from 1, and the labels."""
+def k_by_gap(x: np.ndarray, most: int, references: int = 100, metric: str = "cosine", seed: int = 0, least: int = 1) -> tuple[int, np.ndarray]:
+    """Number of clusters by the gap statistic, ascending from ``least``, and the labels."""
     lo, hi = x.min(0), x.max(0)
     gaps, errors, labels = [], [], []
-    for k in range(1, max(1, most) + 1):
+    least = max(1, min(least, most))
+    for k in range(least, max(least, most) + 1):
         labels.append(kmeans(x, k, metric))
         own = log_dispersion(x, labels[-1], metric)
         refs = []
@@ -116,7 +117,7 @@ def k_by_gap(x: np.ndarray, most: int, references: int = 100, metric: str = "cos
         errors.append(float(np.std(refs)) * (1 + 1 / references) ** 0.5)
         if len(gaps) > 1 and gaps[-2] >= gaps[-1] - errors[-1]:
             return k - 1, labels[-2]
-    return len(labels), labels[-1]
+    return least + len(labels) - 1, labels[-1]
 
 
 def cut_tree(n: int, merges: list[tuple[int, int]], k: int) -> np.ndarray:
@@ -187,59 +188,90 @@ def bisect_margin(x: np.ndarray, margin: float) -> np.ndarray:
     return label if to_centres(c[:1], c[1:], "cosine")[0, 0] >= margin else np.zeros(len(x), int)
 
 
-def hac(d: np.ndarray, k: int, linkage: str = "average", max_size: int | None = None, mean: np.ndarray | None = None, var: np.ndarray | None = None, size: np.ndarray | None = None, merges: list | None = None) -> np.ndarray:
-    """Agglomerative clustering of a distance matrix down to k clusters.
+def symmetric_kl(m1: np.ndarray, v1: np.ndarray, m2: np.ndarray, v2: np.ndarray, cut: int | None = None) -> np.ndarray:
+    """Symmetric KL divergence of diagonal Gaussians along the last axis; the mean of two modalities with ``cut``."""
+    if cut is not None:
+        return (symmetric_kl(m1[..., :cut], v1[..., :cut], m2[..., :cut], v2[..., :cut]) + symmetric_kl(m1[..., cut:], v1[..., cut:], m2[..., cut:], v2[..., cut:])) / 2
+    shift = (m1 - m2) ** 2
+    return ((v1 / v2 + shift / v2 - 1) + (v2 / v1 + shift / v1 - 1)).sum(-1) / 4
+
+
+def hac_merges(d: np.ndarray, k: int = 1, linkage: str = "average", max_size: int | None = None, mean: np.ndarray | None = None, var: np.ndarray | None = None, pooled: bool = False) -> list[tuple[int, int]]:
+    """Merges (i, j), i < j, of agglomerative clustering down to k clusters; the merged cluster goes on as i.
 
-    Ties go by (distance, i, j).  ``max_size`` vetoes merges of more leaves.  With means
-    and variances the merged node's are pooled and its symmetric KL distances computed
-    anew.  Infinite distances (no connection) are used last.
-    ``merges`` takes the merged pairs in order.
+    Every cluster keeps its nearest later one, so a merge costs a few rows of the
+    matrix; ties go by (distance, i, j).  Infinite distances are no neighbours: a pair
+    that one side alone knows keeps that distance, and without neighbours nothing
+    merges.  ``max_size`` vetoes merges of more leaves.  ``linkage``: average (by
+    leaves), complete, or ward (on halved squared distances).  With means and
+    variances, distances between common neighbours are the symmetric KL of the merged
+    cluster, whose variance is the mean by leaves, or with ``pooled`` that of all its rows.
     """
     n = len(d)
     d = d.astype(float).copy()
-    count = np.ones(n) if size is None else size.astype(float).copy()
-    leaves = np.ones(n, int)
-    alive = np.ones(n, bool)
-    parent = np.arange(n)
-    heap = [(d[i, j], i, j) for i in range(n) for j in range(i + 1, n)]
-    heapq.heapify(heap)
-    version = np.zeros(n, int)
-    stamp = {}
-    left = n
-    while left > k and heap:
-        dist, i, j = heapq.heappop(heap)
-        if not (alive[i] and alive[j]) or dist != d[i, j] or stamp.get((i, j), 0) != version[i] + version[j]:
-            continue
+    np.fill_diagonal(d, np.inf)
+    open_ = np.where(np.triu(np.ones((n, n), bool), 1), d, np.inf)  # pairs that may merge
+    near, at = open_.min(1) if n else np.empty(0), open_.argmin(1) if n else np.empty(0, int)
+    leaves, alive = np.ones(n), np.ones(n, bool)
+    if mean is not None:
+        mean, var = mean.astype(float).copy(), var.astype(float).copy()
+    merges: list[tuple[int, int]] = []
+    while n - len(merges) > k:
+        i = int(near.argmin())
+        if not np.isfinite(near[i]):
+            break
+        j = int(at[i])
         if max_size is not None and leaves[i] + leaves[j] > max_size:
+            open_[i, j] = np.inf  # leaves never get fewer
+            near[i], at[i] = open_[i].min(), open_[i].argmin()
             continue
-        if mean is not None:
-            w = count[i] + count[j]
-            m = (count[i] * mean[i] + count[j] * mean[j]) / w
-            v = (count[i] * (var[i] + (mean[i] - m) ** 2) + count[j] * (var[j] + (mean[j] - m) ** 2)) / w
-            mean[i], var[i] = m, v
-        alive[j] = False
-        parent[parent == j] = i
-        if merges is not None:
-            merges.append((i, j))
-        version[i] += 1
-        for o in np.flatnonzero(alive):
-            if o == i:
-                continue
+        merges.append((i, j))
+        a, b, wi, wj = d[i], d[j], leaves[i], leaves[j]
+        with np.errstate(invalid="ignore"):
             if mean is not None:
-                new = symmetric_kl(mean[i], var[i], mean[o], var[o])
+                m = (wi * mean[i] + wj * mean[j]) / (wi + wj)
+                spread = (wi * (mean[i] - m) ** 2 + wj * (mean[j] - m) ** 2) / (wi + wj) if pooled else 0
+                mean[i], var[i] = m, (wi * var[i] + wj * var[j]) / (wi + wj) + spread
+                both = symmetric_kl(mean[i], var[i], mean, var)
+                both = np.where(np.isfinite(both), both, np.finfo(float).max)
             elif linkage == "complete":
-                new = max(d[i, o], d[j, o])
+                both = np.maximum(a, b)
+            elif linkage == "ward":
+                both = ((wi + leaves) * a + (wj + leaves) * b - leaves * d[i, j]) / (wi + wj + leaves)
             else:
-                a, b = d[i, o], d[j, o]
-                new = b if np.isinf(a) else a if np.isinf(b) else (count[i] * a + count[j] * b) / (count[i] + count[j])
-            d[i, o] = d[o, i] = new
-            p, q = min(i, o), max(i, o)
-            stamp[p, q] = version[p] + version[q]
-            heapq.heappush(heap, (new, p, q))
-        count[i] += count[j]
+                both = (wi * a + wj * b) / (wi + wj)
+        new = np.where(np.isinf(a), b, np.where(np.isinf(b), a, both))
+        alive[j] = False
         leaves[i] += leaves[j]
-        left -= 1
-    return np.unique(parent, return_inverse=True)[1]
+        new[~alive] = np.inf
+        new[i] = np.inf
+        d[i], d[:, i] = new, new
+        d[j], d[:, j] = np.inf, np.inf
+        open_[j], open_[:, j] = np.inf, np.inf
+        open_[i, i + 1 :], open_[:i, i] = new[i + 1 :], new[:i]
+        again = np.flatnonzero((at == i) | (at == j))
+        near[j] = np.inf
+        again = np.union1d(again[again != j], [i])
+        near[again], at[again] = open_[again].min(1), open_[again].argmin(1)
+        closer = np.flatnonzero((new[:i] < near[:i]) | ((new[:i] == near[:i]) & (i < at[:i]) & np.isfinite(new[:i])))
+        near[closer], at[closer] = new[closer], i
+    return merges
+
+
+def labels_after(n: int, merges: list[tuple[int, int]]) -> Iterator[np.ndarray]:
+    """Labels from 0, dense, after each merge."""
+    head = np.arange(n)
+    for i, j in merges:
+        head[head == j] = i
+        yield np.unique(head, return_inverse=True)[1]
+
+
+def hac(d: np.ndarray, k: int, linkage: str = "average", max_size: int | None = None, mean: np.ndarray | None = None, var: np.ndarray | None = None, pooled: bool = False, merges: list | None = None) -> np.ndarray:
+    """Labels of agglomerative clustering down to k clusters, or as near as neighbours and sizes allow; see ``hac_merges``."""
+    found = hac_merges(d, k, linkage, max_size, mean, var, pooled)
+    if merges is not None:
+        merges += found
+    return cut_tree(len(d), found, len(d) - len(found))
 
 
 def repair_connectivity(d: np.ndarray, connected: np.ndarray) -> np.ndarray:
@@ -265,24 +297,50 @@ def repair_connectivity(d: np.ndarray, connected: np.ndarray) -> np.ndarray:
         link[i, j] = link[j, i] = True
 
 
-def symmetric_kl(m1: np.ndarray, v1: np.ndarray, m2: np.ndarray, v2: np.ndarray) -> float:
-    shift = (m1 - m2) ** 2
-    return float(((v1 / v2 + shift / v2 - 1) + (v2 / v1 + shift / v1 - 1)).sum() / 4)
-
-
 def ward(x: np.ndarray, k: int) -> np.ndarray:
     """Ward's method down to k clusters."""
-    groups = [[i] for i in range(len(x))]
-    while len(groups) > k:
-        c, n = np.array([x[g].mean(0) for g in groups]), np.array([len(g) for g in groups])
-        cost = distances(c, "sqeuclid") * (n[:, None] * n[None]) / (n[:, None] + n[None])
-        cost[np.tril_indices(len(groups))] = np.inf
-        i, j = np.unravel_index(cost.argmin(), cost.shape)
-        groups[i] += groups.pop(j)
-    label = np.empty(len(x), int)
-    for c, g in enumerate(sorted(groups, key=min)):
-        label[g] = c
-    return label
+    return hac(distances(x, "sqeuclid") / 2, k, "ward")
+
+
+def connected_hac(x: np.ndarray, link: np.ndarray, k: int, metric: str = "cosine", max_size: int | None = None) -> np.ndarray:
+    """HAC in which only linked rows are neighbours, components joined at their nearest pairs first."""
+    return hac(repair_connectivity(distances(x, metric), link), k, max_size=max_size)
+
+
+def merge_test(x: np.ndarray, label: np.ndarray, references: int = 100, metric: str = "cosine", seed: int = 0) -> tuple[bool, float]:
+    """Do the two clusters of ``label`` (0 and 1) look like one by the gap statistic?  The verdict and gap(1) - (gap(2) - s(2))."""
+    lo, hi = x.min(0), x.max(0)
+    gaps, error = [], 0.0
+    for k, own in ((1, np.zeros(len(x), int)), (2, label)):
+        refs = []
+        for b in range(references):
+            u = np.random.default_rng([seed, k, b]).uniform(lo, hi, x.shape)
+            refs.append(log_dispersion(u, kmeans(u, k, metric), metric))
+        gaps.append(float(np.mean(refs)) - log_dispersion(x, own, metric))
+        error = float(np.std(refs)) * (1 + 1 / references) ** 0.5
+    gap = gaps[0] - (gaps[1] - error)
+    return gap >= 0, gap
+
+
+def buckshot(x: np.ndarray, seeds: np.ndarray, link: np.ndarray, k: int, steps: int = 100) -> np.ndarray:
+    """Lloyd's algorithm over x from centres that HAC finds in a sample with must-links."""
+    label = connected_hac(seeds, link, k)
+    c = np.array([seeds[label == i].mean(0) for i in np.unique(label)])
+    last = None
+    for _ in range(steps):
+        new = to_centres(x, c, "cosine").round(12).argmin(1)
+        if last is not None and (new == last).all():
+            break
+        last = new
+        for i in np.unique(new):
+            c[i] = x[new == i].mean(0)
+    return np.unique(last, return_inverse=True)[1]
+
+
+def random_unit(n: int, size: int, seed: int = 0) -> np.ndarray:
+    """Vectors of length 1 in random directions."""
+    g = np.random.default_rng(seed).normal(size=(n, size))
+    return g / np.linalg.norm(g, axis=1, keepdims=True)
 
 
 def mean_shift(x: np.ndarray, bandwidth: float | None = None, steps: int = 100) -> np.ndarray:
@@ -338,10 +396,12 @@ def dp_means(x: np.ndarray, most: int, alpha: float) -> np.ndarray:
 
 METHODS = {
     "none": lambda x, **_: np.zeros(len(x), int),
-    "gap": lambda x, min_size=1, **_: k_by_gap(x, max(1, len(x) // min_size))[1],
+    "gap": lambda x, min_size=1, least=1, **_: k_by_gap(x, max(1, len(x) // min_size), least=least)[1],
     "gap_hac": lambda x, min_size=1, **_: k_by_gap_descending(x, max(1, len(x) // min_size))[1],
     "cosine": lambda x, margin=0.5, **_: bisect_margin(x, margin),
-    "ha": lambda x, k=2, **_: hac(distances(x, "cosine"), min(k, len(x))),
+    "ha": lambda x, k=2, linkage="average", max_size=None, **_: hac(distances(x, "cosine"), min(k, len(x)), linkage, max_size),
+    "chain": lambda x, k=2, max_size=None, **_: connected_hac(x, np.abs(np.subtract.outer(np.arange(len(x)), np.arange(len(x)))) == 1, min(k, len(x)), max_size=max_size),
+    "collapse": lambda x, k=12, least=4, **_: collapse_small(x, kmeans(x, min(k, len(x))), least),
     "ward": lambda x, k=2, **_: ward(x, min(k, len(x))),
     "kmeans": lambda x, k=2, **_: kmeans(x, min(k, len(x))),
     "ms": lambda x, **_: mean_shift(x),
@@ -349,7 +409,7 @@ METHODS = {
     "dpgmm": lambda x, alpha=1.0, **_: dp_means(x, len(x), alpha),
 }
 #: Those that need a full distance matrix.
-MATRIX_METHODS = frozenset({"gap_hac", "ha", "ward", "ms", "sc"})
+MATRIX_METHODS = frozenset({"gap_hac", "ha", "chain", "ward", "ms", "sc"})
 
 
 def label_groups(df: DataFrame, group: str, key: str, vec: str, method: str, **options) -> DataFrame:
@@ -361,8 +421,8 @@ def label_groups(df: DataFrame, group: str, key: str, vec: str, method: str, **o
     run = METHODS[method]
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
-        if method in MATRIX_METHODS and len(part) > MOST_ROWS:
-            raise ValueError(f"a group of {len(part)} rows is more than {MOST_ROWS}")
+        if method in MATRIX_METHODS:
+            _bounded(len(part))
         part = part.sort_values("k", kind="stable")
         x = np.array(part["v"].tolist(), float)
         return pd.DataFrame({"g": part["g"], "k": part["k"], "label": np.unique(run(x, **options), return_inverse=True)[1]})
@@ -371,17 +431,54 @@ def label_groups(df: DataFrame, group: str, key: str, vec: str, method: str, **o
     return rows.groupBy("g").applyInPandas(one, "g string, k long, label long").select(F.col("g").alias(group), F.col("k").alias(key), "label")
 
 
-def label_clusters_kl(stats: DataFrame, cluster: str, k: int) -> DataFrame:
-    """HAC of clusters by symmetric KL of (mean, var, n), recomputed after each merge."""
+def merge_steps(df: DataFrame, group: str, key: str, vec: str, k: int = 1, **options) -> DataFrame:
+    """group, step, key, label: labels after each merge of HAC inside each group (see ``hac_merges``)."""
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        _bounded(len(part))
+        part = part.sort_values("k", kind="stable")
+        d = distances(np.array(part["v"].tolist(), float), "cosine")
+        steps = list(labels_after(len(part), hac_merges(d, k, **options)))
+        return pd.DataFrame({"g": part["g"].iloc[0], "step": np.repeat(np.arange(1, len(steps) + 1), len(part)), "k": np.tile(part["k"], len(steps)), "label": np.concatenate(steps) if steps else np.empty(0, int)})
+
+    rows = df.select(F.col(group).cast("string").alias("g"), F.col(key).cast("long").alias("k"), V.as_doubles(F.col(vec)).alias("v"))
+    return rows.groupBy("g").applyInPandas(one, "g string, step long, k long, label long").select(F.col("g").alias(group), "step", F.col("k").alias(key), "label")
+
+
+def merge_tests(df: DataFrame, pair: str, side: str, vec: str) -> DataFrame:
+    """pair, merge, gap: ``merge_test`` of two clusters (sides 0 and 1) for each pair that has both."""
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        label = part["s"].to_numpy()
+        if len(set(label)) < 2:
+            return pd.DataFrame({"p": [], "merge": [], "gap": []}).astype({"p": "int64", "merge": "bool", "gap": "float64"})
+        merge, gap = merge_test(np.array(part["v"].tolist(), float), label)
+        return pd.DataFrame({"p": [part["p"].iloc[0]], "merge": [merge], "gap": [gap]})
+
+    rows = df.select(F.col(pair).cast("long").alias("p"), F.col(side).cast("long").alias("s"), V.as_doubles(F.col(vec)).alias("v"))
+    return rows.groupBy("p").applyInPandas(one, "p long, merge boolean, gap double").withColumnRenamed("p", pair)
+
+
+def _bounded(rows: int) -> None:
+    if rows > MOST_ROWS:
+        raise ValueError(f"a group of {rows} rows is more than {MOST_ROWS}")
+
+
+def label_clusters_kl(stats: DataFrame, cluster: str, k: int, label: str = "group", cut: int | None = None, pooled: bool = False) -> DataFrame:
+    """HAC of clusters by symmetric KL of (mean, var), recomputed after each merge: cluster and its ``label``.
+
+    One row a cluster takes part, MOST_ROWS at most.  ``cut`` parts two modalities.
+    """
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
+        _bounded(len(part))
         part = part.sort_values("c")
-        m, v, n = np.array(part["mean"].tolist()), np.array(part["var"].tolist()), part["n"].to_numpy()
-        d = np.array([[symmetric_kl(m[i], v[i], m[j], v[j]) for j in range(len(m))] for i in range(len(m))])
-        return pd.DataFrame({"c": part["c"], "label": hac(d, k, mean=m.copy(), var=v.copy(), size=n)})
+        m, v = np.array(part["mean"].tolist()), np.array(part["var"].tolist())
+        d = np.stack([symmetric_kl(m[i], v[i], m, v, cut) for i in range(len(m))])
+        return pd.DataFrame({"c": part["c"], "l": hac(d, min(k, len(m)), mean=m, var=v, pooled=pooled)})
 
-    rows = stats.select(F.lit(0).alias("g"), F.col(cluster).cast("long").alias("c"), "mean", "var", "n")
-    return rows.groupBy("g").applyInPandas(one, "c long, label long").withColumnRenamed("c", cluster)
+    rows = stats.select(F.lit(0).alias("g"), F.col(cluster).cast("long").alias("c"), "mean", "var")
+    return rows.groupBy("g").applyInPandas(one, "c long, l long").select(F.col("c").alias(cluster), F.col("l").alias(label))
 
 
 # ------------------------------------------------------------- sets and merges
@@ -396,34 +493,54 @@ def proper_subsets(sets: DataFrame, key: str, members: str) -> DataFrame:
     return small.join(large, "x").where((F.size("sm") < F.size("lm")) & (F.size(F.array_except("sm", "lm")) == 0)).select("sub", "sup")
 
 
-def collapse_subsets(sets: list[tuple[int, frozenset]]) -> list[tuple[frozenset, list[int]]]:
-    """Merge proper-subset pairs greedily in order, round after round, until there is none.
+def first_matching(pairs: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """The pairs (i, j) that a walk in the order of (i, j) picks, each end once.
 
-    Returns the merged sets with the ids that went into each.  For small collections.
+    Rounds instead of a walk: a pair that is the first at both its ends is picked, and
+    pairs that touch it go.
+    """
+    left, picked, step = work.keep(pairs.distinct(), f"{name}-0"), None, 0
+    while not left.isEmpty():
+        step += 1
+        ends = left.select(F.col("i").alias("v"), "i", "j").unionByName(left.select(F.col("j").alias("v"), "i", "j"))
+        first = ends.groupBy("v").agg(F.min(F.struct("i", "j")).alias("p"))
+        now = work.keep(first.groupBy("p").agg(F.count("*").alias("n")).where("n = 2").select("p.i", "p.j"), f"{name}-{step}-picked")
+        picked = now if picked is None else picked.unionByName(now)
+        gone = now.select(F.col("i").alias("v")).unionByName(now.select(F.col("j").alias("v")))
+        left = left.join(gone.select(F.col("v").alias("i")), "i", "left_anti").join(gone.select(F.col("v").alias("j")), "j", "left_anti")
+        left = work.keep(left.select("i", "j"), f"{name}-{step}")
+    return left if picked is None else picked
+
+
+def collapse_subsets(sets: DataFrame, key: str, members: str) -> DataFrame:
+    """Merge sets of which one lies properly inside the other, pair by pair in order, until there are none.
+
+    A round merges the pairs of a walk over the sets in order: each takes the first later
+    one that it lies in or that lies in it, if both are free; merged sets go behind
+    the rest, in the order of their pairs.  Returns place (long, the order at the end),
+    members (in the order in which they came in) and merged (how many sets went in).
+    Sets of one member stay as they are.
     """
-    now = [(s, [k]) for k, s in sets]
+    work = Workspace(sets.sparkSession, "subsets")
+    now = numbered(sets.select(F.col(key).alias("k"), F.col(members).alias("m")), ["k"], "place").select("place", "m", F.lit(1).cast("long").alias("merged"))
+    now, step = work.keep(now, "sets-0"), 0
     while True:
-        used, out = set(), []
-        for i, (a, ka) in enumerate(now):
-            if i in used:
-                continue
-            for j in range(i + 1, len(now)):
-                b = now[j][0]
-                if j not in used and len(a) > 1 and len(b) > 1 and (a < b or b < a):
-                    used |= {i, j}
-                    out.append((a | b, ka + now[j][1]))
-                    break
-        if not used:
+        found = proper_subsets(now, "place", "m")
+        pairs = first_matching(found.select(F.least("sub", "sup").alias("i"), F.greatest("sub", "sup").alias("j")), work, f"pairs-{step}")
+        if pairs.isEmpty():
             return now
-        now = [x for i, x in enumerate(now) if i not in used] + out
+        step += 1
+        one = now.select(F.col("place").alias("i"), F.col("m").alias("a"), F.col("merged").alias("ka"))
+        two = now.select(F.col("place").alias("j"), F.col("m").alias("b"), F.col("merged").alias("kb"))
+        joined = pairs.join(one, "i").join(two, "j").select(F.lit(1).alias("late"), F.col("i").alias("at"), F.array_union("a", "b").alias("m"), (F.col("ka") + F.col("kb")).alias("merged"))
+        gone = pairs.select(F.col("i").alias("place")).unionByName(pairs.select(F.col("j").alias("place")))
+        rest = now.join(gone, "place", "left_anti").select(F.lit(0).alias("late"), F.col("place").alias("at"), "m", "merged")
+        now = work.keep(numbered(rest.unionByName(joined), ["late", "at"], "place").select("place", "m", "merged"), f"sets-{step}")
 
 
 def reindex(clusters: DataFrame, key: str, removed: DataFrame) -> DataFrame:
     """New dense ids of the clusters that stay: the old id less the removed ones below it."""
-    from pyspark.sql.window import Window as W
-
-    ids = clusters.select(key).distinct().join(removed, key, "left_anti")
-    return ids.select(key, (F.row_number().over(W.orderBy(key)) - 1).alias("new_id"))
+    return numbered(clusters.select(key).distinct().join(removed, key, "left_anti"), [key], "new_id")
 
 
 def merge_clusters(members: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -437,9 +554,161 @@ def split_senses(term_obs: DataFrame, term: str, key: str, vec: str, method: str
     return label_groups(term_obs, term, key, vec, method, **options).withColumnRenamed("label", "sense")
 
 
-def merge_senses(senses: DataFrame, sense: str, vec: str, k: int, literal: bool = False) -> DataFrame:
-    """Cluster the senses' means into k groups: sense, label."""
-    return label_groups(senses.withColumn("_all", F.lit(0)), "_all", sense, vec, "ha", k=k).drop("_all")
+def seeds(members: DataFrame, cluster: str, key: str, k: int, seed: str) -> DataFrame:
+    """cluster, key of sqrt(n k) sampled members, in bursts of 1 to 4 of a cluster, clusters in turn.
+
+    Bursts and orders come from hashes, so any engine can repeat them.  The number of
+    members is the only thing that reaches the driver.
+    """
+    from pyspark.sql.window import Window as W
+
+    from ..functions.text import hashed_order
+
+    most = int((members.count() * k) ** 0.5 + 0.5)
+    place = F.row_number().over(W.partitionBy(cluster).orderBy(hashed_order(F.col(key), seed), key)) - 1
+    burst = F.conv(F.substring(hashed_order(F.col(cluster), seed), 1, 4), 16, 10).cast("int") % 4 + 1
+    turn = members.select(cluster, key).withColumn("_place", place).withColumn("_turn", F.floor(F.col("_place") / burst))
+    # no cluster gives more than ``most``, so the sort is of what may be taken alone
+    return turn.where(F.col("_place") < most).orderBy("_turn", hashed_order(F.col(cluster), seed), cluster, "_place").limit(most).select(cluster, key)
+
+
+def must_links(sample: DataFrame, cluster: str, key: str) -> DataFrame:
+    """Pairs (i < j) of sampled members of one cluster."""
+    a, b = sample.alias("a"), sample.alias("b")
+    met = a.join(b, (F.col(f"a.{cluster}") == F.col(f"b.{cluster}")) & (F.col(f"a.{key}") < F.col(f"b.{key}")))
+    return met.select(F.col(f"a.{key}").alias("i"), F.col(f"b.{key}").alias("j"))
+
+
+#: Ways to merge senses, with the method that labels their means.
+MERGES = {"none": "none", "gap": "gap", "dpgmm": "dpgmm", "ms": "ms", "sc": "sc", "ha": "gap_hac", "ha_fixed": "ha"}
+
+
+def merge_senses(senses: DataFrame, sense: str, vec: str, method: str = "ha_fixed", k: int | None = None, **options) -> DataFrame:
+    """Cluster the senses by their means: sense, label.
+
+    ``method``: none, gap, dpgmm, ms, sc, ha (the gap decides), ha_fixed and, on columns
+    mean and var, ha_fixed_kl.  Where a number of clusters is needed and not given, it
+    is the one expected from so many senses.  One row a sense takes part.
+    """
+    if method == "none":
+        ids = numbered(senses.select(sense).distinct(), [sense], "label")
+        return ids.select(sense, "label")
+    k = k or max(1, V.estimated_k(senses.count()))
+    if method == "ha_fixed_kl":
+        return label_clusters_kl(senses, sense, k, "label", **options)
+    return label_groups(senses.withColumn("_all", F.lit(0)), "_all", sense, vec, MERGES[method], k=k, least=k, **options).drop("_all")
+
+
+def merge_senses_buckshot(members: DataFrame, sense: str, key: str, vec: str, seed: str = "buckshot", k: int | None = None) -> DataFrame:
+    """sense, label: Lloyd's algorithm over the senses' means from centres that HAC finds in a sample of members.
+
+    The sample is that of ``seeds``; members of one sense must link.  sqrt(n k) members
+    and one mean a sense meet in one task, MOST_ROWS of each at most.
+    """
+    sizes = members.groupBy(sense).count()
+    k = k or max(1, V.estimated_k(sizes.count()))
+    rows = members.select(F.col(sense).cast("long").alias("s"), F.col(key).cast("long").alias("k"), V.as_doubles(F.col(vec)).alias("v"))
+    picked = seeds(members, sense, key, k, seed).select(F.col(sense).cast("long").alias("s"), F.col(key).cast("long").alias("k"))
+    sample = rows.join(picked, ["s", "k"]).select("s", "k", "v")
+    stats = VO.as_arrays(VO.cluster_mean_var(rows, "s", "v"), "s").select("s", F.lit(None).cast("long").alias("k"), F.col("mean").alias("v"))
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        mine = part["k"].isna()
+        _bounded(int(mine.sum()))
+        _bounded(int((~mine).sum()))
+        means, chosen = part[mine].sort_values("s"), part[~mine].sort_values(["s", "k"])
+        x, y, owner = np.array(means["v"].tolist()), np.array(chosen["v"].tolist()), chosen["s"].to_numpy()
+        label = buckshot(x, y, (owner[:, None] == owner[None]) & ~np.eye(len(y), dtype=bool), min(k, len(y)))
+        return pd.DataFrame({"s": means["s"], "label": label})
+
+    met = sample.unionByName(stats).withColumn("g", F.lit(0))
+    return met.groupBy("g").applyInPandas(one, "s long, label long").select(F.col("s").alias(sense), "label")
+
+
+def rebuild_senses(members: DataFrame, labels: DataFrame, sense: str, term: str, key: str, literal: bool = False) -> DataFrame:
+    """Clusters from the labels of senses: label, term, key.
+
+    A cluster has the union of its senses' terms, and all their members.  ``literal``
+    keeps of a term only the members in the first sense that brings it in.
+    """
+    met = members.select(sense, term, key).join(labels.select(sense, "label"), sense)
+    if not literal:
+        return met.select("label", term, key)
+    first = met.groupBy("label", term).agg(F.min(sense).alias("_first"))
+    return met.join(first, ["label", term]).where(F.col(sense) == F.col("_first")).select("label", term, key)
+
+
+def ordered_union(lists: DataFrame, labels: DataFrame, sense: str, terms: str) -> DataFrame:
+    """label and the union of its senses' term lists: terms in the order of senses, then of their lists, each once."""
+    met = lists.select(sense, F.posexplode(terms).alias("_pos", "_term")).join(labels.select(sense, "label"), sense)
+    first = met.groupBy("label", "_term").agg(F.min(F.struct(sense, "_pos")).alias("_at"))
+    return first.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_term"))), lambda x: x["_term"]).alias(terms))
+
+
+def balanced_negatives(members: DataFrame, cluster: str, term: str, key: str, seed: str) -> DataFrame:
+    """cluster, key: for every cluster as many members of others as it has itself, each once.
+
+    Negatives are drawn evenly over clusters, in these over terms, in these over
+    members: all members stand in one order of turns (hashed, so any engine can repeat
+    it), and a cluster takes the first that aren't its own.  As many as it has twice
+    over are looked at, in blocks that meet by number.
+    """
+    from pyspark.sql.window import Window as W
+
+    from ..functions.text import hashed_order
+
+    h = lambda c: hashed_order(F.col(c), seed)
+    rows = members.select(F.col(cluster).alias("c"), F.col(term).alias("t"), F.col(key).alias("k"))
+    rows = rows.withColumn("r1", F.row_number().over(W.partitionBy("c", "t").orderBy(h("k"), "k")))
+    rows = rows.withColumn("r2", F.row_number().over(W.partitionBy("c").orderBy("r1", h("t"), "t")))
+    line = numbered(rows.select("r2", h("c").alias("hc"), "c", "k"), ["r2", "hc", "c"], "at").select("at", "c", "k")
+    n = members.groupBy(F.col(cluster).alias("own")).agg(F.count("*").alias("n"))
+    block = 1024
+    wanted = n.select("own", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(2 * F.col("n") / block))).alias("b"))
+    met = wanted.join(line.withColumn("b", F.floor(F.col("at") / block)), "b").where((F.col("at") < 2 * F.col("n")) & (F.col("c") != F.col("own")))
+    place = F.row_number().over(W.partitionBy("own").orderBy("at"))
+    return met.withColumn("p", place).where(F.col("p") <= F.col("n")).select(F.col("own").alias(cluster), F.col("k").alias(key))
+
+
+def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 50) -> np.ndarray:
+    """Weights (the last one the intercept) of an SVM with squared hinge loss, by Newton's method; y is 1 or -1."""
+    z = np.column_stack([x, np.ones(len(x))])
+    w = np.zeros(z.shape[1])
+    for _ in range(steps):
+        margin = 1 - y * (z @ w)
+        active = margin > 0
+        gradient = w - 2 * c * z[active].T @ (y[active] * margin[active])
+        hessian = np.eye(len(w)) + 2 * c * z[active].T @ z[active]
+        step = np.linalg.solve(hessian, gradient)
+        w = w - step
+        if np.abs(step).max() < 1e-10:
+            break
+    return w
+
+
+def svm_models(rows: DataFrame, negatives: DataFrame, cluster: str, key: str, vec: str) -> DataFrame:
+    """cluster, weights: one linear SVM a cluster, its members against as many sampled others; clusters are fitted in parallel."""
+    v = V.as_doubles(F.col(vec))
+    own = rows.select(cluster, v.alias("v"), F.lit(1.0).alias("y"))
+    other = negatives.join(rows.select(key, v.alias("v")), key).select(cluster, "v", F.lit(-1.0).alias("y"))
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        w = linear_svm(np.array(part["v"].tolist()), part["y"].to_numpy()) if part["y"].nunique() == 2 else None
+        return pd.DataFrame({"c": part["c"].iloc[:1], "w": [w]})
+
+    both = own.unionByName(other).select(F.col(cluster).cast("long").alias("c"), "v", "y")
+    return both.groupBy("c").applyInPandas(one, "c long, w array<double>").where("w is not null").select(F.col("c").alias(cluster), F.col("w").alias("weights"))
+
+
+def svm_decisions(rows: DataFrame, models: DataFrame, cluster: str, key: str, vec: str, block: int = 256) -> DataFrame:
+    """cluster, key of what each cluster's model accepts; models meet rows in blocks of bounded size."""
+    m = numbered(models, [cluster], "_place").withColumn("_b", F.floor(F.col("_place") / block))
+    packed = m.groupBy("_b").agg(F.sort_array(F.collect_list(F.struct(F.col(cluster).cast("long").alias("c"), F.col("weights").alias("w")))).alias("models"))
+    blocks = -(-models.count() // block)
+    met = rows.select(F.col(key).alias("k"), V.as_doubles(F.col(vec)).alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(blocks, 1) - 1).cast("long"))).alias("_b")).join(packed, "_b")
+    score = lambda w: V.dot(F.slice(w, 1, F.size("v")), F.col("v")) + F.element_at(w, -1)
+    accepted = F.filter("models", lambda x: score(x["w"]) > 0)
+    return met.select(F.explode(F.transform(accepted, lambda x: x["c"])).alias(cluster), F.col("k").alias(key))
 
 
 def hashed_sample(df: DataFrame, group: Iterable[str], quota, key: str, seed: str) -> DataFrame:

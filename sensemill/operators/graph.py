@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.text import hashed_order
+from ..sources.workspace import numbered
+
 
 def parse_pairs(lines: DataFrame) -> DataFrame:
     """``concept<TAB>term, term`` lines to concept_id, term, term_pos (from 0), lower-cased."""
@@ -15,18 +18,15 @@ def parse_pairs(lines: DataFrame) -> DataFrame:
 
 
 def term_ids(terms: DataFrame, first: Column) -> DataFrame:
-    """Dense ids from 0 in the order of each term's first appearance.
-
-    One row for each distinct term takes part in the numbering.
-    """
+    """Dense ids from 0 in the order of each term's first appearance."""
     found = terms.groupBy("term").agg(F.min(first).alias("first"))
-    return found.select((F.row_number().over(W.orderBy("first", "term")) - 1).cast("int").alias("term_id"), "term")
+    return numbered(found, ["first", "term"], "term_id").select(F.col("term_id").cast("int").alias("term_id"), "term")
 
 
 def ambiguous_terms(concept_terms: DataFrame, literal: bool = False) -> DataFrame:
     """term, concept_id of terms with two concepts or more.
 
-    ``literal`` leaves the last concept out, as the reference's loop does.
+    ``literal`` leaves the last concept out.
     """
     pairs = concept_terms.select("concept_id", "term").distinct()
     if literal:
@@ -81,7 +81,7 @@ def pol_edges(concept_terms: DataFrame) -> DataFrame:
     return a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("a.concept_id") < F.col("b.concept_id"))).select(F.col("a.term").alias("term"), F.col("a.concept_id").alias("concept_a"), F.col("b.concept_id").alias("concept_b"))
 
 
-def synpol_terms(concept_terms: DataFrame, least_pol: int = 2, least_syn: int = 1) -> DataFrame:
+def ambiguous_synonyms(concept_terms: DataFrame, least_pol: int = 2, least_syn: int = 1) -> DataFrame:
     """Terms with so many concepts, so many of them with synonyms."""
     size = concept_terms.withColumn("size", F.count("*").over(W.partitionBy("concept_id")))
     return size.groupBy("term").agg(F.count("*").alias("n_concepts"), F.count_if(F.col("size") > 1).alias("n_synonymous")).where((F.col("n_concepts") >= least_pol) & (F.col("n_synonymous") >= least_syn))
@@ -102,21 +102,54 @@ def trim_ambiguous(concept_terms: DataFrame, with_observations: DataFrame) -> Da
     return ambiguous_terms(concept_terms.join(with_observations, "concept_id", "left_semi"))
 
 
-def balanced_subgraph(concept_terms: DataFrame, rounds: int, seed: str) -> DataFrame:
-    """Each round picks one edge inside a concept, one across concepts and one more pair.
+def isolated_nodes(concept_terms: DataFrame) -> DataFrame:
+    """Pairs (concept, term) without another term in the concept and without another concept of the term."""
+    sized = concept_terms.withColumns({"c": F.count("*").over(W.partitionBy("concept_id")), "t": F.count("*").over(W.partitionBy("term"))})
+    return sized.where("c = 1 and t = 1").select("concept_id", "term")
+
 
-    A closed form of the greedy choice: edges in hashed order, the first ``rounds`` of
-    each kind, and the pairs at their ends.
+Node = tuple[str, str]
+
+
+def chosen_nodes(syn: list[tuple[Node, Node]], pol: list[tuple[Node, Node]], alone: list[Node], size: int | None) -> tuple[list[Node], list[bool]]:
+    """Nodes in the order in which rounds bring them in, until a round brings nothing new; and which kinds ran out before.
+
+    A round takes one edge inside a concept, one across concepts and one isolated node,
+    each kind while it has no more than ``size`` nodes (the largest kind's number, if
+    None) and anything is left.
+    """
+    kinds = [(iter(edges), set()) for edges in (syn, pol, [(n,) for n in alone])]
+    nodes: dict[Node, None] = {}
+    short = [False] * 3
+    while True:
+        most = max(len(own) for _, own in kinds) if size is None else size
+        before = len(nodes)
+        for k, (edges, own) in enumerate(kinds):
+            found = next(edges, None) if len(own) <= most else ()
+            short[k] |= found is None
+            own.update(found or ())
+            nodes.update(dict.fromkeys(found or ()))
+        if len(nodes) == before:
+            return list(nodes), short
+
+
+def balanced_subgraph(concept_terms: DataFrame, size: int, seed: str) -> DataFrame:
+    """A sub-graph with as many ambiguous, synonymous and isolated nodes, and new dense ids.
+
+    Edges and isolated nodes come in hashed order.  An edge may bring nothing new, so
+    rounds may want more than ``size`` of them: lists of bounded length are fetched, and
+    twice as long ones where one ran out.  Returns concept_idx, concept_id, term_idx,
+    term, ids in the order in which nodes came in.
     """
-    from ..functions.text import hashed_order
-
-    s = syn_edges(concept_terms)
-    s = s.orderBy(hashed_order(F.concat_ws("|", "concept_id", "term_a", "term_b"), seed), "concept_id", "term_a", "term_b").limit(rounds)
-    p = pol_edges(concept_terms)
-    p = p.orderBy(hashed_order(F.concat_ws("|", "term", "concept_a", "concept_b"), seed), "term", "concept_a", "concept_b").limit(rounds)
-    one = concept_terms.select("concept_id", "term").orderBy(hashed_order(F.concat_ws("|", "concept_id", "term"), seed), "concept_id", "term").limit(rounds)
-    ends = [s.select("concept_id", F.col("term_a").alias("term")), s.select("concept_id", F.col("term_b").alias("term")), p.select(F.col("concept_a").alias("concept_id"), "term"), p.select(F.col("concept_b").alias("concept_id"), "term"), one]
-    out = ends[0]
-    for e in ends[1:]:
-        out = out.unionByName(e)
-    return out.distinct()
+    in_order = lambda df: df.orderBy(hashed_order(F.concat_ws("|", *df.columns), seed), *df.columns)
+    lists = in_order(syn_edges(concept_terms)), in_order(pol_edges(concept_terms)), in_order(isolated_nodes(concept_terms))
+    most = 2 * size + 16
+    while True:
+        syn, pol, alone = ([tuple(r) for r in df.limit(most).collect()] for df in lists)
+        nodes, short = chosen_nodes([((c, a), (c, b)) for c, a, b in syn], [((a, t), (b, t)) for t, a, b in pol], alone, size)
+        if not any(ran_out and len(x) == most for ran_out, x in zip(short, (syn, pol, alone), strict=True)):
+            break
+        most *= 2
+    concepts, terms = (list(dict.fromkeys(n[k] for n in nodes)) for k in (0, 1))
+    rows = [(concepts.index(c), c, terms.index(t), t) for c, t in nodes]
+    return concept_terms.sparkSession.createDataFrame(rows, "concept_idx long, concept_id string, term_idx long, term string")

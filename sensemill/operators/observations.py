@@ -25,12 +25,15 @@ def obs_quota(obs: DataFrame, key: str, quota: Column, order: str) -> DataFrame:
     return obs.withColumn("rn", F.row_number().over(W.partitionBy(key).orderBy(order))).where(F.col("rn") <= quota).drop("rn")
 
 
-def term_obs_assign(concept_terms: DataFrame, obs: DataFrame, seed: str) -> DataFrame:
+def term_obs_assign(concept_terms: DataFrame, obs: DataFrame, seed: str, flags: DataFrame | None = None) -> DataFrame:
     """Deal a concept's shuffled observations evenly to its terms, the remainder to the last.
 
     concept_terms: concept_id, term; obs: concept_id, obs_id.  The term at position p of
-    m gets rows floor(n p / m) up to floor(n (p + 1) / m).
+    m gets rows floor(n p / m) up to floor(n (p + 1) / m).  Observations in ``flags``
+    (the same columns) are left out first.
     """
+    if flags is not None:
+        obs = obs.join(flags, ["concept_id", "obs_id"], "left_anti")
     terms = concept_terms.withColumns({"p": F.row_number().over(W.partitionBy("concept_id").orderBy("term")) - 1, "m": F.count("*").over(W.partitionBy("concept_id"))})
     dealt = obs.withColumns({"i": F.row_number().over(W.partitionBy("concept_id").orderBy(hashed_order(F.col("obs_id"), seed), "obs_id")) - 1, "n": F.count("*").over(W.partitionBy("concept_id"))})
     lo, hi = F.floor(F.col("n") * F.col("p") / F.col("m")), F.when(F.col("p") == F.col("m") - 1, F.col("n")).otherwise(F.floor(F.col("n") * (F.col("p") + 1) / F.col("m")))
@@ -70,7 +73,7 @@ def exact_duplicates(df: DataFrame, id_col: str, content: str) -> DataFrame:
 
 
 def drop_flagged(df: DataFrame, flags: DataFrame, on: str, literal: bool = False) -> DataFrame:
-    """Rows without a flag; ``literal`` keeps the flagged ones instead, as the reference does."""
+    """Rows without a flag; ``literal`` keeps the flagged ones instead."""
     return df.join(flags, on, "left_semi" if literal else "left_anti")
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from ..sources.workspace import numbered
 
 
 def contingency(df: DataFrame, cls: str, cluster: str) -> DataFrame:
@@ -85,18 +86,17 @@ def size_histogram(members: DataFrame, cluster: str) -> DataFrame:
 def gold_clusters(concept_terms: DataFrame, term_obs: DataFrame) -> DataFrame:
     """One cluster for each concept that has observations, of all its terms' observations."""
     met = concept_terms.join(term_obs, ["concept_id", "term"])
-    ids = met.select("concept_id").distinct().select("concept_id", (F.row_number().over(W.orderBy("concept_id")) - 1).alias("cluster_id"))
+    ids = numbered(met.select("concept_id").distinct(), ["concept_id"], "cluster_id")
     return met.join(ids, "concept_id").select("cluster_id", "term", "obs_id")
 
 
 def gold_senses(term_obs: DataFrame) -> DataFrame:
     """One cluster for each concept and term: gold senses without synonymy."""
-    pairs = term_obs.select("concept_id", "term").distinct()
-    ids = pairs.select("concept_id", "term", (F.row_number().over(W.orderBy("concept_id", "term")) - 1).alias("cluster_id"))
+    ids = numbered(term_obs.select("concept_id", "term").distinct(), ["concept_id", "term"], "cluster_id")
     return term_obs.join(ids, ["concept_id", "term"]).select("cluster_id", "concept_id", "term", "obs_id")
 
 
 def initial_clusters(term_obs: DataFrame) -> DataFrame:
     """One cluster for each term with observations."""
-    ids = term_obs.select("term").distinct().select("term", (F.row_number().over(W.orderBy("term")) - 1).alias("cluster_id"))
+    ids = numbered(term_obs.select("term").distinct(), ["term"], "cluster_id")
     return term_obs.join(ids, "term").select("cluster_id", "term", "obs_id")

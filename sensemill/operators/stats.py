@@ -100,10 +100,30 @@ def t_pvalue(t: float | None, df: float | None) -> float | None:
     return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
 
 
-def _pvalues(t, df):
-    return pd.Series([None if pd.isna(a) or pd.isna(b) else t_pvalue(a, b) for a, b in zip(t, df, strict=True)], dtype="float64")
-
-
 def with_pvalue(tests: DataFrame) -> DataFrame:
     """Adds p to a table of tests (few rows: one for each pair of batches and header)."""
-    return tests.withColumn("p", F.pandas_udf(_pvalues, "double", F.PandasUDFType.SCALAR)("t", "df"))
+
+    @F.pandas_udf("double")
+    def p(t: pd.Series, df: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(a) or pd.isna(b) else t_pvalue(a, b) for a, b in zip(t, df, strict=True)], dtype="float64")
+
+    return tests.withColumn("p", p("t", "df"))
+
+
+def significant(tests: DataFrame, level: float = 0.05) -> DataFrame:
+    """Tests (with p) below a level of significance."""
+    return tests.where(F.col("p") < level)
+
+
+def grid(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """Every combination of the values that keys have; values are few, so each key's travel as one row."""
+    out = None
+    for k in keys:
+        values = runs.agg(F.collect_set(k).alias("_v")).select(F.explode("_v").alias(k)).withColumn("_one", F.lit(1))
+        out = values if out is None else out.join(values, "_one")
+    return out.select(*keys)
+
+
+def missing_runs(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs wanted that left no results."""
+    return wanted.join(done.select(*keys), keys, "left_anti")

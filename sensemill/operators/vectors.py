@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..sources.workspace import numbered
 
-#: Vectors of one block in comparisons of all pairs.
-BLOCK = 1024
+#: Vectors of one block in comparisons of all pairs, and bytes of one, at most.
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
+#: Centroids that travel as one row, and rows of statistics in one block of pairs.
+PACKED, STATS_BLOCK = 1024, 256
 #: Cosine distance up to which NumPy's isclose takes a cosine for 1.
 CLOSE = 1e-8 + 1e-5
 
@@ -40,8 +43,8 @@ def cluster_mean_var(df: DataFrame, cluster: str, vec: str) -> DataFrame:
 
 def as_arrays(stats: DataFrame, cluster: str) -> DataFrame:
     """Rows by dimension back to arrays: cluster, mean, var, n."""
-    g = stats.groupBy(cluster).agg(F.sort_array(F.collect_list(F.struct("dim", "mean", "var"))).alias("s"), F.max("n").alias("n"))
-    return g.select(cluster, F.transform("s", lambda x: x["mean"]).alias("mean"), F.transform("s", lambda x: x["var"]).alias("var"), "n")
+    g = stats.groupBy(cluster).agg(F.sort_array(F.collect_list(F.struct("dim", "mean", "var"))).alias("_rows"), F.max("n").alias("n"))
+    return g.select(cluster, F.transform("_rows", lambda x: x["mean"]).alias("mean"), F.transform("_rows", lambda x: x["var"]).alias("var"), "n")
 
 
 def complete_variances(stats: DataFrame, weighted: bool = True) -> DataFrame:
@@ -57,10 +60,11 @@ def complete_variances(stats: DataFrame, weighted: bool = True) -> DataFrame:
 def all_pairs(df: DataFrame, key: str, vec: str, metric: str, keep: float | None = None, block: int = BLOCK) -> DataFrame:
     """i, j (i < j), dist of all pairs, block against block with one matrix product each.
 
-    Blocks meet in an equi-join, so memory is bounded by two blocks a task.  ``keep``
-    gives only distances below it.
+    Blocks meet in an equi-join, so memory is bounded by two blocks a row, each of
+    BLOCK_BYTES at most.  ``keep`` gives only distances below it.
     """
-    blocks = max(1, -(-df.count() // block))
+    shape = df.agg(F.count("*").alias("n"), F.max(F.size(vec)).alias("size")).first()
+    blocks = max(1, -(-shape["n"] // max(1, min(block, BLOCK_BYTES // (8 * max(shape["size"] or 1, 1))))))
     rows = df.select(F.col(key).alias("k"), V.as_doubles(F.col(vec)).alias("v")).withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
     packed = rows.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("rows"))
     left = packed.select("b", "rows").withColumn("c", F.explode(F.sequence(F.col("b"), F.lit(blocks - 1))))
@@ -84,26 +88,35 @@ def all_pairs(df: DataFrame, key: str, vec: str, metric: str, keep: float | None
     return met.mapInPandas(run, "i long, j long, dist double")
 
 
-def pair_stats(stats: DataFrame, cluster: str, distance: Column) -> DataFrame:
-    """All pairs of clusters by an expression over a.mean, a.var, b.mean, b.var.
-
-    Pairs are made by an equi-join on a block number; clusters are few against observations.
-    """
-    a = stats.select(F.lit(0).alias("b0"), F.col(cluster).alias("i"), F.col("mean").alias("m1"), F.col("var").alias("v1"))
-    b = stats.select(F.lit(0).alias("b0"), F.col(cluster).alias("j"), F.col("mean").alias("m2"), F.col("var").alias("v2"))
-    return a.join(b, "b0").where("i < j").select("i", "j", distance.alias("dist"))
+def pair_stats(stats: DataFrame, cluster: str, distance: Column, block: int = STATS_BLOCK) -> DataFrame:
+    """All pairs of clusters (i < j) by an expression over m1, v1, m2, v2; blocks meet blocks in an equi-join."""
+    blocks = max(1, -(-stats.count() // block))
+    mine = F.pmod(F.xxhash64(cluster), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = stats.select(mine.alias("b1"), every.alias("b2"), F.col(cluster).alias("i"), F.col("mean").alias("m1"), F.col("var").alias("v1"))
+    b = stats.select(mine.alias("b2"), every.alias("b1"), F.col(cluster).alias("j"), F.col("mean").alias("m2"), F.col("var").alias("v2"))
+    return a.join(b, ["b1", "b2"]).where("i < j").select("i", "j", distance.alias("dist"))
 
 
-def nearest_centroid(df: DataFrame, key: str, vec: str, centroids: DataFrame, cluster: str, centroid: str, metric: str, digits: int = 9) -> DataFrame:
+def nearest_centroid(df: DataFrame, key: str, vec: str, centroids: DataFrame, cluster: str, centroid: str, metric: str, digits: int = 9, packed: int = PACKED) -> DataFrame:
     """Each row's nearest centroid, the smallest cluster on ties.
 
-    All centroids travel as one array, built by an aggregate; their number is that of the clusters.
+    Up to ``packed`` centroids travel as one row, whose size that bounds.  More are
+    packed block by block; a row meets every block, and the best of its blocks wins.
     """
-    packed = centroids.agg(F.sort_array(F.collect_list(F.struct(F.col(cluster).alias("c"), F.col(centroid).alias("m")))).alias("cs")).withColumn("one", F.lit(1))
     v = V.as_doubles(F.col(vec))
-    met = df.withColumn("one", F.lit(1)).join(packed, "one")
-    best = F.array_min(F.transform("cs", lambda c: F.struct(F.round(V.DISTANCES[metric](v, c["m"]), digits).alias("d"), c["c"].alias("c"))))
-    return met.withColumn("best", best).select(*[c for c in df.columns], F.col("best.c").alias("nearest"), F.col("best.d").alias("dist")) if key else met
+    best = F.array_min(F.transform("_cs", lambda c: F.struct(F.round(V.DISTANCES[metric](v, c["m"]), digits).alias("d"), c["c"].alias("c"))))
+    pack = F.sort_array(F.collect_list(F.struct(F.col(cluster).alias("c"), F.col(centroid).alias("m")))).alias("_cs")
+    n = centroids.count()
+    if n <= packed:
+        one = F.broadcast(centroids.agg(pack).withColumn("_one", F.lit(1)))
+        met = df.withColumn("_one", F.lit(1)).join(one, "_one").withColumn("_best", best)
+        return met.select(*df.columns, F.col("_best.c").alias("nearest"), F.col("_best.d").alias("dist"))
+    placed = numbered(centroids.select(cluster, centroid), [cluster], "_place")
+    blocks = placed.groupBy(F.floor(F.col("_place") / packed).alias("_b")).agg(pack)
+    rows = df.select(key, vec, F.explode(F.sequence(F.lit(0).cast("long"), F.lit((n - 1) // packed).cast("long"))).alias("_b"))
+    found = rows.join(blocks, "_b").groupBy(key).agg(F.min(best).alias("_best"))
+    return df.join(found, key).select(*df.columns, F.col("_best.c").alias("nearest"), F.col("_best.d").alias("dist"))
 
 
 def vector_duplicates(df: DataFrame, key: str, image: str, text: str) -> DataFrame:

@@ -7,10 +7,8 @@ order status with line status; R takes line items as result rows by return flag.
 
 from __future__ import annotations
 
-import itertools
-import tempfile
+import uuid
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -26,6 +24,7 @@ from ..operators import stats as R
 from ..operators import text as X
 from ..operators import vectors as VO
 from ..sources import io
+from ..sources.workspace import shared_dir
 from ..streaming.incremental import incremental_merge as merge_stream
 from .registry import query
 
@@ -119,8 +118,8 @@ def pol_edges(spark, d):
 
 
 @query(f"SELECT term, count(*) AS n_concepts, count(*) FILTER (size > 1) AS n_synonymous FROM (SELECT *, count(*) OVER (PARTITION BY concept_id) AS size FROM {BT_SQL}) GROUP BY term HAVING count(*) >= 2 AND count(*) FILTER (size > 1) >= 1")
-def synpol_terms(spark, d):
-    return G.synpol_terms(bt(spark, d))
+def ambiguous_synonyms(spark, d):
+    return G.ambiguous_synonyms(bt(spark, d))
 
 
 @query(f"SELECT round(s / nullif(k, 0), 6) AS alpha_pol, round(CASE WHEN senses > 1 THEN concepts / ln(senses) END, 6) AS alpha_syn FROM (SELECT sum(CASE WHEN n > 1 THEN c / ln(n) ELSE 0 END) AS s, count(*) AS k FROM (SELECT p_name AS term, count(*) AS n FROM part GROUP BY 1) JOIN (SELECT term, count(*) AS c FROM {BT_SQL} GROUP BY term) USING (term)), (SELECT count(DISTINCT concept_id) AS concepts, count(*) AS senses FROM {BT_SQL})")
@@ -175,6 +174,13 @@ def term_obs_assign(spark, d):
     return O.term_obs_assign(gt(spark, d), g(spark, d).select("concept_id", "obs_id"), "assign")
 
 
+@query(f"WITH o AS (SELECT p_brand AS concept_id, p_partkey AS obs_id FROM part WHERE p_size <= 40) SELECT concept_id, term, obs_id FROM (SELECT concept_id, term, row_number() OVER (PARTITION BY concept_id ORDER BY term) - 1 AS p, count(*) OVER (PARTITION BY concept_id) AS m FROM {GT_SQL}) JOIN (SELECT concept_id, obs_id, row_number() OVER (PARTITION BY concept_id ORDER BY md5(obs_id::VARCHAR || '#assign'), obs_id) - 1 AS i, count(*) OVER (PARTITION BY concept_id) AS n FROM o) USING (concept_id) WHERE i >= n * p // m AND i < CASE WHEN p = m - 1 THEN n ELSE n * (p + 1) // m END")
+def term_obs_assign_clean(spark, d):
+    """Flagged observations (here large parts) are dealt to no term."""
+    flags = io.table(spark, d, "part").where("p_size > 40").select(F.col("p_brand").alias("concept_id"), F.col("p_partkey").alias("obs_id"))
+    return O.term_obs_assign(gt(spark, d), g(spark, d).select("concept_id", "obs_id"), "assign", flags)
+
+
 SHARES = [0.5, 0.3, 0.2]
 
 
@@ -183,10 +189,11 @@ def split_partitions(spark, d):
     return O.split_partitions(g(spark, d).select("concept_id", "obs_id"), "concept_id", SHARES, "split")
 
 
-@query(f"SELECT term, count(*) AS n, array_to_string(list_sort(list(obs_id)), ',') AS obs FROM (SELECT term, obs_id FROM {G_SQL} WHERE obs_id % 2 = 0 UNION ALL SELECT term, obs_id FROM {G_SQL} WHERE obs_id % 3 = 0) GROUP BY term")
+@query(f"SELECT term, count(*) AS n, array_to_string(list_sort(list(obs_id)), ',') AS obs FROM (SELECT p_name AS term, p_partkey AS obs_id FROM part WHERE p_size <= 30 UNION ALL SELECT p_name, p_partkey FROM part WHERE p_size > 20) GROUP BY term")
 def union_term_obs(spark, d):
-    o = g(spark, d).select("term", "obs_id")
-    return O.union_term_obs(o.where("obs_id % 2 = 0"), o.where("obs_id % 3 = 0"))
+    """Two overlapping slices that hold all observations."""
+    o = io.table(spark, d, "part").select(F.col("p_name").alias("term"), F.col("p_partkey").alias("obs_id"), "p_size")
+    return O.union_term_obs(o.where("p_size <= 30").drop("p_size"), o.where("p_size > 20").drop("p_size"))
 
 
 FLAGS_SQL = "(SELECT doc_id FROM documents WHERE md5(text) IN (SELECT md5(text) FROM documents GROUP BY 1 HAVING count(*) > 1) UNION SELECT doc_id FROM documents WHERE text IS NULL OR n_chars < 20)"
@@ -207,10 +214,10 @@ def dedup_clean(spark, d):
     return O.drop_flagged(io.table(spark, d, "documents").select("doc_id", "source"), _flags(spark, d), "doc_id")
 
 
-@query("SELECT p_brand AS concept_id, p_partkey AS obs_id, round(embedding[1]::DOUBLE, 6) AS first FROM part JOIN embeddings ON p_partkey = vec_id")
+@query(f"SELECT p_brand AS concept_id, p_partkey AS obs_id, dim, round(x, 6) AS x FROM part JOIN {DIMS_SQL} ON p_partkey = vec_id")
 def obs_join_features(spark, d):
-    v = io.table(spark, d, "embeddings").select(F.col("vec_id").alias("obs_id"), F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
-    return g(spark, d).join(v, "obs_id").select("concept_id", "obs_id", "first")
+    v = emb(spark, d).select(F.col("vec_id").alias("obs_id"), "v")
+    return VO.dims(g(spark, d).join(v, "obs_id"), ["concept_id", "obs_id"], "v").withColumn("x", F.round("x", 6))
 
 
 # ---------------------------------------------------------------- 3 vectors
@@ -264,6 +271,16 @@ def pairwise_kl(spark, d):
     return VO.pair_stats(_means(spark, d), "label", both).select("i", "j", "dist.intended", "dist.literal")
 
 
+def _kl_part(lo: int, hi: int) -> str:
+    logs = "list_sum(list_transform(range({lo}, {hi}), lambda k: ln({b}.s[k] / {a}.s[k]) + ({b}.m[k] - {a}.m[k]) ** 2 / {b}.s[k] + {a}.s[k] / {b}.s[k] - 1)) / 2"
+    return f"(({logs.format(lo=lo, hi=hi, a='a', b='b')}) + ({logs.format(lo=lo, hi=hi, a='b', b='a')})) / 2"
+
+
+@query(f"SELECT a.label AS i, b.label AS j, round(({_kl_part(1, CUT + 1)} + {_kl_part(CUT + 1, DIM + 1)}) / 2, 4) AS dist FROM {MEANS_SQL} a JOIN {MEANS_SQL} b ON a.label < b.label")
+def two_modality_kl(spark, d):
+    return VO.pair_stats(_means(spark, d), "label", F.round(V.two_modality_kl(*(F.col(c) for c in ("m1", "v1", "m2", "v2")), CUT, DIM), 4))
+
+
 @query(f"SELECT a.label AS i, b.label AS j, round({_COS.format(a='a.m', b='b.m')} + CASE WHEN a.label % 5 = b.label % 5 THEN 2 ELSE 0 END, 5) AS dist FROM {MEANS_SQL} a JOIN {MEANS_SQL} b ON a.label < b.label")
 def pairwise_cosine_penalty(spark, d):
     """Senses of one term (here labels equal modulo 5) are pushed apart by the largest cosine distance."""
@@ -326,16 +343,30 @@ def fix_degenerate_kl(spark, d):
 
 
 @query(f"SELECT a.vec_id AS i, b.vec_id AS j, round(1 - list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)), 5) AS dist FROM {V_SQL} a JOIN {V_SQL} b ON a.vec_id < b.vec_id WHERE 1 - list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)) < 0.6")
-def vector_duplicates(spark, d):
-    """Near pairs by a similarity join; the rule of two modalities is `vector_duplicate_flags`."""
+def near_pairs(spark, d):
+    """Near pairs by a similarity join."""
     return VO.all_pairs(emb(spark, d), "vec_id", "v", "cosine", keep=0.6).select("i", "j", F.round("dist", 5).alias("dist"))
 
 
-@query()
-def vector_duplicate_flags(spark, d):
-    """The first CUT dimensions are one modality, the others the second."""
-    two = emb(spark, d).select("vec_id", F.slice("v", 1, CUT).alias("image"), F.slice("v", CUT + 1, DIM - CUT).alias("text"))
-    return VO.vector_duplicates(two, "vec_id", "image", "text")
+# near copies of both modalities, of one alone, and vectors without a modality, made from the embeddings
+TWO_SQL = f"""(SELECT vec_id, v[1:{CUT}] AS i, v[{CUT + 1}:{DIM}] AS t FROM {V_SQL}
+    UNION ALL SELECT 100000 + vec_id, list_transform(v[1:{CUT}], lambda x: x * 3), list_transform(v[{CUT + 1}:{DIM}], lambda x: x * 2 + 1e-7) FROM {V_SQL} WHERE vec_id % 10 = 0
+    UNION ALL SELECT 200000 + vec_id, v[1:{CUT}], list_transform(v[{CUT + 1}:{DIM}], lambda x: x + 0.5) FROM {V_SQL} WHERE vec_id % 10 = 1
+    UNION ALL SELECT 300000 + vec_id, list_transform(v[1:{CUT}], lambda x: 0.0), v[{CUT + 1}:{DIM}] FROM {V_SQL} WHERE vec_id % 10 = 2)"""
+_ALIKE = "(({n}.{m}0 AND {o}.{m}0) OR (NOT {n}.{m}0 AND NOT {o}.{m}0 AND abs(list_dot_product({n}.{m}, {o}.{m}) / {n}.{m}n / {o}.{m}n - 1) <= 1.001e-5))"
+
+
+@query(f"WITH w AS (SELECT vec_id, i, t, sqrt(list_dot_product(i, i)) AS i_n, sqrt(list_dot_product(t, t)) AS t_n FROM {TWO_SQL}), z AS (SELECT vec_id, i, t, i_n AS \"in\", t_n AS tn, i_n = 0 AS i0, t_n = 0 AS t0, i_n <= 1e-8 OR t_n <= 1e-8 AS gone FROM w), p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM z a JOIN z b ON a.vec_id < b.vec_id AND {_ALIKE.format(n='a', o='b', m='i')} AND {_ALIKE.format(n='a', o='b', m='t')}) SELECT vec_id, 'missing' AS reason FROM z WHERE gone UNION ALL SELECT x, 'duplicate' FROM (SELECT x FROM p UNION SELECT y FROM p)".replace("a.in", 'a."in"').replace("b.in", 'b."in"'))
+def vector_duplicates(spark, d):
+    """Flags by the rule of two modalities; the first CUT dimensions are one, the others the second."""
+    e = emb(spark, d).select("vec_id", F.slice("v", 1, CUT).alias("image"), F.slice("v", CUT + 1, DIM - CUT).alias("text"))
+    times = lambda c, k, plus=0.0: F.transform(c, lambda x: x * F.lit(k) + F.lit(plus))
+    some = lambda r, image, text: e.where(f"vec_id % 10 = {r}").select((F.col("vec_id") + (r + 1) * 100000).alias("vec_id"), image.alias("image"), text.alias("text"))
+    copies = [some(0, times("image", 3.0), times("text", 2.0, 1e-7)), some(1, F.col("image"), times("text", 1.0, 0.5)), some(2, times("image", 0.0), F.col("text"))]
+    both = e
+    for c in copies:
+        both = both.unionByName(c)
+    return VO.vector_duplicates(both, "vec_id", "image", "text")
 
 
 # ---------------------------------------------------------------- 4 scoring
@@ -445,10 +476,11 @@ def visible_text(spark, d):
     return io.table(spark, d, "pages").select("page_id", F.md5(T.visible_text(F.col("html"))).alias("digest"))
 
 
-@query("SELECT page_id, link FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link FROM pages) WHERE NOT starts_with(link, '/') AND NOT contains(link, 'spam')")
+@query("SELECT page_id, link FROM (SELECT page_id, unnest(list_append(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1), url)) AS link FROM pages) WHERE NOT starts_with(link, '/') AND NOT contains(link, 'example.net')")
 def page_link_filter(spark, d):
-    links = io.table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("link"))
-    return links.where(T.external_link(F.col("link"), "spam"))
+    """A page's own address and its links, without local ones and those of an excluded site."""
+    links = F.array_append(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)), F.col("url"))
+    return io.table(spark, d, "pages").select("page_id", F.explode(links).alias("link")).where(T.external_link(F.col("link"), "example.net"))
 
 
 VOCAB_SQL = f"(SELECT token FROM {BAG_SQL} GROUP BY token HAVING count(*) >= 5)"
@@ -493,13 +525,33 @@ def text_profile(spark, d):
     return X.text_profile(io.table(spark, d, "conversations"), "role", "conv_id")
 
 
-@query(f"SELECT doc_id, dim, round(avg(x), 6) AS x FROM (SELECT doc_id, length(token) AS word FROM {TOKENS_SQL}) JOIN (SELECT vec_id AS word, dim, x FROM {DIMS_SQL} WHERE dim < 4) USING (word) GROUP BY ALL")
+# a word's vector is the one whose id a hash of the word names, modulo twice their number: every other word has none
+WORD_SQL = "(('0x' || substr(md5(token), 1, 8))::BIGINT % (2 * (SELECT count(*) FROM embeddings)))"
+
+
+def _word_vectors(spark, d, words):
+    e = emb(spark, d)
+    word = F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("long") % F.lit(2 * e.count())
+    return words.select("token").distinct().withColumn("vec_id", word).join(e, "vec_id").select(F.col("token").alias("word"), F.col("v").alias("vec"))
+
+
+@query(f"WITH m AS (SELECT doc_id, dim, avg(x) AS x FROM (SELECT doc_id, {WORD_SQL} AS word FROM {TOKENS_SQL}) JOIN (SELECT vec_id AS word, dim, x FROM {DIMS_SQL}) USING (word) GROUP BY ALL) SELECT doc_id, dim, round(coalesce(x, 0), 6) AS x FROM (SELECT doc_id, unnest(range(0, {DIM}))::INT AS dim FROM documents) LEFT JOIN m USING (doc_id, dim)")
 def text_w2v_mean(spark, d):
-    """Words stand for the vector whose id is their length; four dimensions are shown."""
-    words = _bag(spark, d).select("doc_id", F.length("token").cast("long").alias("word"), "tf")
-    vectors = VO.dims(emb(spark, d), ["vec_id"], "v").where("dim < 4").withColumnRenamed("vec_id", "word")
-    met = words.join(vectors, "word").groupBy("doc_id", "dim").agg((F.sum(F.col("x") * F.col("tf")) / F.sum("tf")).alias("x"))
-    return met.select("doc_id", "dim", F.round("x", 6).alias("x"))
+    """Mean word vector of every document, zeros for those without a known word."""
+    bag = _bag(spark, d)
+    means = X.mean_of_word_vectors(bag.withColumnRenamed("token", "word"), "doc_id", _word_vectors(spark, d, bag))
+    return X.or_zeros(io.table(spark, d, "documents"), "doc_id", means, DIM).select("doc_id", F.col("dim").cast("int").alias("dim"), F.round("x", 6).alias("x"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents),
+    h AS (SELECT doc_id, w, unnest(range(1, len(w)))::INT AS place FROM t),
+    c AS (SELECT doc_id, unnest(list_concat(w[greatest(place - 3, 1):place - 1], w[place + 2:place + 4])) AS token FROM h WHERE w[place] = 'of' AND w[place + 1] = 'the')
+    SELECT doc_id, dim, round(avg(x), 6) AS x FROM (SELECT doc_id, {WORD_SQL} AS word FROM c) JOIN (SELECT vec_id AS word, dim, x FROM {DIMS_SQL}) USING (word) GROUP BY ALL""")
+def text_w2v_window(spark, d):
+    """The same over the words around a phrase alone."""
+    docs = io.table(spark, d, "documents")
+    found = X.mean_in_windows(docs, "doc_id", "text", PHRASE, _word_vectors(spark, d, _bag(spark, d)))
+    return found.select("doc_id", "dim", F.round("x", 6).alias("x"))
 
 
 def _topics(spark, d):
@@ -520,7 +572,7 @@ def text_lsi_mean(spark, d):
 
 @query()
 def w2v_train(spark, d):
-    return X.train_word_vectors(io.table(spark, d, "documents"), "text", 16).getVectors()
+    return X.train_word_vectors(io.table(spark, d, "documents"), "text", 32, steps=2).getVectors()
 
 
 @query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")
@@ -563,14 +615,20 @@ def welch_ttest(spark, d):
     return R.welch(_long(spark, d))
 
 
-@query(f"SELECT header, batch_a, batch_b, t FROM {WELCH_SQL} WHERE abs(t) > 1")
-def significant_tests(spark, d):
-    return R.welch(_long(spark, d)).where("abs(t) > 1").select("header", "batch_a", "batch_b", "t")
+# the density of Student's t, integrated from 0 to |t| by Simpson's rule with 2000 steps
+_HALF = "abs(t) / 6000 * list_sum(list_transform(range(0, 2001), lambda k: (CASE WHEN k % 2000 = 0 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * (1 + (abs(t) * k / 2000) ** 2 / df) ** (-(df + 1) / 2)))"
+P_SQL = f"(SELECT *, 1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * {_HALF} AS p FROM {WELCH_SQL})"
 
 
-@query()
+@query(f"SELECT header, batch_a, batch_b, t, df, round(p, 6) AS p FROM {P_SQL}")
 def welch_pvalue(spark, d):
-    return R.with_pvalue(R.welch(_long(spark, d)))
+    return R.with_pvalue(R.welch(_long(spark, d))).withColumn("p", F.round("p", 6))
+
+
+@query(f"SELECT header, batch_a, batch_b, t, round(p, 6) AS p FROM {P_SQL} WHERE p < 0.3")
+def significant_tests(spark, d):
+    """Tests below a level of significance; a wide one, as the batches differ by chance alone."""
+    return R.significant(R.with_pvalue(R.welch(_long(spark, d))), 0.3).select("header", "batch_a", "batch_b", "t", F.round("p", 6).alias("p"))
 
 
 PAIRED_SQL = "(SELECT l_partkey, avg(l_quantity) FILTER (l_linestatus = 'O') AS x, avg(l_quantity) FILTER (l_linestatus = 'F') AS y FROM lineitem GROUP BY 1)"
@@ -599,25 +657,24 @@ def results_join(spark, d):
     return part("A", "l_discount", "class_p").join(part("R", "l_tax", "graph_p"), "l_suppkey", "full").dropna()
 
 
-METHOD_POL, METHOD_SYN, FOLDS = ["none", "cosine", "gap", "ms", "sc"], ["none", "gap", "ms", "sc", "ha"], ["train", "dev", "test"]
-_lists = lambda v: ", ".join(f"('{x}')" for x in v)
-GRID_SQL = f"(SELECT pol, syn, fold FROM (VALUES {_lists(METHOD_POL)}) a(pol), (VALUES {_lists(METHOD_SYN)}) b(syn), (VALUES {_lists(FOLDS)}) c(fold))"
+# result files of runs: lines of a return flag and line status, in a place of the order; some lines alone make a result
+GRID_SQL = "(SELECT pol, syn, fold FROM (SELECT DISTINCT l_returnflag AS pol FROM lineitem), (SELECT DISTINCT l_linestatus AS syn FROM lineitem), (SELECT DISTINCT l_linenumber AS fold FROM lineitem))"
 
 
-def _grid(spark):
-    return spark.createDataFrame([*itertools.product(METHOD_POL, METHOD_SYN, FOLDS)], "pol string, syn string, fold string")
+def _runs(spark, d):
+    return io.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("pol"), F.col("l_linestatus").alias("syn"), F.col("l_linenumber").alias("fold"), "l_quantity", "l_discount")
 
 
 @query(f"SELECT * FROM {GRID_SQL}")
 def method_grid(spark, d):
-    return _grid(spark)
+    return R.grid(_runs(spark, d), ["pol", "syn", "fold"])
 
 
-@query(f"SELECT * FROM {GRID_SQL} WHERE length(pol) <> length(syn)")
+@query(f"SELECT * FROM {GRID_SQL} EXCEPT SELECT l_returnflag, l_linestatus, l_linenumber FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1")
 def missing_runs(spark, d):
-    """Runs of the grid without results (here results exist where both names are of one length)."""
-    done = _grid(spark).where("length(pol) = length(syn)")
-    return _grid(spark).join(done, ["pol", "syn", "fold"], "left_anti")
+    """Runs of the grid without results."""
+    runs = _runs(spark, d)
+    return R.missing_runs(R.grid(runs, ["pol", "syn", "fold"]), runs.where("l_quantity = 50 and l_discount = 0.1"), ["pol", "syn", "fold"])
 
 
 # ----------------------------------------------------------- 7 disagreement
@@ -758,9 +815,8 @@ def proper_subset_pairs(spark, d):
 
 @query()
 def collapse_subsets(spark, d):
-    rows = sorted((r["k"], frozenset(r["m"])) for r in _sets(spark, d).collect())
-    out = C.collapse_subsets(rows)
-    return spark.createDataFrame([(i, ",".join(sorted(s)), len(ks)) for i, (s, ks) in enumerate(out)], "cluster_id long, terms string, merged long")
+    out = C.collapse_subsets(_sets(spark, d), "k", "m")
+    return out.select(F.col("place").alias("cluster_id"), F.array_join(F.sort_array("m"), ",").alias("terms"), "merged")
 
 
 SET_MEMBERS_SQL = "(SELECT p_type || '/' || p_size AS cluster_id, p_partkey AS obs_id FROM part)"
@@ -778,15 +834,72 @@ def reindex_clusters(spark, d):
     return C.reindex(part, "obs_id", part.where("p_size <= 10").select("obs_id"))
 
 
-@query("SELECT vec_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(vec_id::VARCHAR || '#neg'), vec_id) AS rn FROM embeddings) WHERE rn <= 5")
+def _senses(spark, d):
+    """Vectors in 50 senses, with a term and a member id."""
+    return emb(spark, d).select((F.col("vec_id") % 50).alias("sense"), (F.col("vec_id") % 3).alias("term"), "vec_id", "v")
+
+
+NEG_SQL = """(WITH e AS (SELECT label, vec_id % 3 AS term, vec_id FROM embeddings),
+    a AS (SELECT *, row_number() OVER (PARTITION BY label, term ORDER BY md5(vec_id::VARCHAR || '#neg'), vec_id) AS r1 FROM e),
+    b AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY r1, md5(term::VARCHAR || '#neg'), term) AS r2 FROM a),
+    c AS (SELECT label, vec_id, row_number() OVER (ORDER BY r2, md5(label::VARCHAR || '#neg'), label) AS place FROM b),
+    n AS (SELECT label AS own, count(*) AS n FROM e GROUP BY label),
+    p AS (SELECT own, n, vec_id, row_number() OVER (PARTITION BY own ORDER BY place) AS i FROM n JOIN c ON label <> own)
+    SELECT own AS label, vec_id FROM p WHERE i <= n)"""
+
+
+def _negatives(spark, d):
+    e = emb(spark, d).select("label", (F.col("vec_id") % 3).alias("term"), "vec_id")
+    return C.balanced_negatives(e, "label", "term", "vec_id", "neg")
+
+
+@query(f"SELECT * FROM {NEG_SQL}")
 def negative_sample(spark, d):
-    return C.hashed_sample(io.table(spark, d, "embeddings").select("vec_id", "label"), ["label"], 5, "vec_id", "neg")
+    return _negatives(spark, d)
 
 
-@query("SELECT vec_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(vec_id::VARCHAR || '#seed'), vec_id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM embeddings) WHERE rn <= ceil(sqrt(n))")
+SEED_SQL = """(WITH e AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY md5(vec_id::VARCHAR || '#seed'), vec_id) - 1 AS i, ('0x' || substr(md5(label::VARCHAR || '#seed'), 1, 4))::INT % 4 + 1 AS burst FROM embeddings)
+    SELECT label, vec_id FROM (SELECT *, row_number() OVER (ORDER BY i // burst, md5(label::VARCHAR || '#seed'), label, i) AS place FROM e) WHERE place <= floor(sqrt((SELECT count(*) FROM e) * 5) + 0.5))"""
+
+
+def _seeds(spark, d):
+    return C.seeds(emb(spark, d).select("label", "vec_id"), "label", "vec_id", 5, "seed")
+
+
+@query(f"SELECT * FROM {SEED_SQL}")
 def seed_sample(spark, d):
-    e = io.table(spark, d, "embeddings").select("vec_id", "label").withColumn("n", F.count("*").over(W.partitionBy("label")))
-    return C.hashed_sample(e, ["label"], F.ceil(F.sqrt("n")), "vec_id", "seed").select("vec_id", "label")
+    return _seeds(spark, d)
+
+
+@query(f"SELECT a.vec_id AS i, b.vec_id AS j FROM {SEED_SQL} a JOIN {SEED_SQL} b ON a.label = b.label AND a.vec_id < b.vec_id")
+def must_links(spark, d):
+    return C.must_links(_seeds(spark, d), "label", "vec_id")
+
+
+PARTS_SQL = "(SELECT p_size AS sense, p_size % 7 AS label, p_name AS term, p_partkey AS obs_id FROM part)"
+
+
+def _parts(spark, d):
+    """Senses by size with their terms and members, and labels of senses."""
+    m = io.table(spark, d, "part").select(F.col("p_size").alias("sense"), F.col("p_name").alias("term"), F.col("p_partkey").alias("obs_id"))
+    return m, m.select("sense", (F.col("sense") % 7).alias("label")).distinct()
+
+
+@query(f"SELECT label, term, obs_id FROM {PARTS_SQL}")
+def rebuild_senses(spark, d):
+    return C.rebuild_senses(*_parts(spark, d), "sense", "term", "obs_id")
+
+
+@query(f"SELECT label, term, obs_id FROM (SELECT *, min(sense) OVER (PARTITION BY label, term) AS first FROM {PARTS_SQL}) WHERE sense = first")
+def rebuild_senses_literal(spark, d):
+    return C.rebuild_senses(*_parts(spark, d), "sense", "term", "obs_id", literal=True)
+
+
+@query(f"SELECT label, string_agg(term, ',' ORDER BY first, term) AS terms FROM (SELECT label, term, min(sense) AS first FROM {PARTS_SQL} GROUP BY ALL) GROUP BY label")
+def ordered_union(spark, d):
+    members_, labels = _parts(spark, d)
+    lists = members_.groupBy("sense").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    return C.ordered_union(lists, labels, "sense", "terms").withColumn("terms", F.array_join("terms", ","))
 
 
 def _by_label(method, **options):
@@ -803,11 +916,16 @@ query(name="spectral_labels")(_by_label("sc", k=3))
 query(name="dp_labels")(_by_label("dpgmm"))
 
 
+query(name="hac_complete_labels")(_by_label("ha", k=5, linkage="complete"))
+query(name="hac_max_size_labels")(_by_label("ha", k=5, max_size=12))
+query(name="hac_connected_labels")(_by_label("chain", k=5))
+query(name="collapse_small")(_by_label("collapse"))
+
+
 @query()
-def collapse_small(spark, d):
-    C.METHODS.setdefault("collapse", lambda x, k=12, least=4, **_: C.collapse_small(x, C.kmeans(x, min(k, len(x))), least))
-    e = emb(spark, d).withColumnRenamed("label", "grp")
-    return C.label_groups(e, "grp", "vec_id", "v", "collapse")
+def hac_steps(spark, d):
+    """Labels after each merge."""
+    return C.merge_steps(emb(spark, d).withColumnRenamed("label", "grp"), "grp", "vec_id", "v")
 
 
 @query()
@@ -816,14 +934,28 @@ def hac_kl_labels(spark, d):
 
 
 @query()
-def split_senses(spark, d):
-    return C.split_senses(emb(spark, d).withColumnRenamed("label", "term"), "term", "vec_id", "v", "cosine", margin=0.5)
+def merge_test(spark, d):
+    """Do two neighbouring classes look like one cluster?"""
+    return C.merge_tests(emb(spark, d).select(F.floor(F.col("label") / 2).alias("pair"), (F.col("label") % 2).alias("side"), "v"), "pair", "side", "v")
+
+
+def _split(method, **options):
+    return lambda spark, d: C.split_senses(emb(spark, d).withColumnRenamed("label", "term"), "term", "vec_id", "v", method, **options)
+
+
+def _merge(method):
+    return lambda spark, d: C.merge_senses(VO.as_arrays(VO.cluster_mean_var(_senses(spark, d), "sense", "v"), "sense"), "sense", "mean", method)
+
+
+for _method, _options in (("none", {}), ("cosine", {"margin": 0.5}), ("gap", {"min_size": 10}), ("dpgmm", {}), ("ms", {}), ("sc", {"k": 2})):
+    query(name=f"split_senses_{_method}")(_split(_method, **_options))
+for _method in (*C.MERGES, "ha_fixed_kl"):
+    query(name=f"merge_senses_{_method}")(_merge(_method))
 
 
 @query()
-def merge_senses(spark, d):
-    means = _means(spark, d).select(F.col("label").alias("sense"), F.col("mean").alias("v"))
-    return C.merge_senses(means, "sense", "v", 4)
+def merge_senses_buckshot(spark, d):
+    return C.merge_senses_buckshot(_senses(spark, d), "sense", "vec_id", "v")
 
 
 @query()
@@ -839,20 +971,10 @@ def logistic_accuracy(spark, d):
 
 @query()
 def cluster_svm(spark, d):
-    """One linear SVM for each cluster against as many sampled negatives."""
-    from pyspark.ml.classification import LinearSVC
-    from pyspark.ml.functions import array_to_vector
-
-    e = emb(spark, d).select("vec_id", "label", array_to_vector("v").alias("features")).persist()
-    out = None
-    for (label,) in sorted(e.select("label").distinct().collect()):
-        pos = e.where(F.col("label") == label)
-        neg = e.where(F.col("label") != label).orderBy(T.hashed_order(F.col("vec_id"), "svm"), "vec_id").limit(pos.count())
-        both = pos.withColumn("y", F.lit(1.0)).unionByName(neg.withColumn("y", F.lit(0.0)))
-        model = LinearSVC(labelCol="y", maxIter=10).fit(both)
-        part = model.transform(e).where("prediction = 1").groupBy().agg(F.count("*").alias("accepted")).withColumn("label", F.lit(label))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """What one linear SVM a cluster, fitted against as many others, accepts."""
+    e = emb(spark, d)
+    models = C.svm_models(e, _negatives(spark, d), "label", "vec_id", "v")
+    return C.svm_decisions(e, models, "label", "vec_id", "v")
 
 
 # ------------------------------------------------------------ 9 incremental
@@ -860,6 +982,5 @@ def cluster_svm(spark, d):
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def incremental_merge(spark, d):
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='sensemill-')}"
-    at = f"{base}/incremental-{np.random.default_rng().integers(1 << 60):x}"
+    at = f"{shared_dir(spark)}/incremental-{uuid.uuid4().hex}"
     return merge_stream(spark, d, io.table(spark, d, "events").schema, "events.parquet", f"{at}/state", f"{at}/checkpoint")

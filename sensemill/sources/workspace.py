@@ -61,8 +61,8 @@ FILE_BYTES = 32 << 20
 class Workspace:
     """Tables written to the shared folder during one operator call; they go when the driver's JVM ends, if not before.
 
-    With ``input``, the table that a call works on, tables that come straight from a scan
-    have one file for each FILE_BYTES of that, or one for each core if that is more.
+    With ``input``, the table that a call works on, tables kept with ``few`` have one file
+    for each FILE_BYTES of that, or one for each core if that is more.
     """
 
     def __init__(self, spark: SparkSession, name: str, input: DataFrame | None = None):
@@ -83,15 +83,15 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str, scanned: bool = False) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, few: bool = False) -> DataFrame:
         """Write a table and read it back: cuts the lineage, and survives lost executors.
 
         What follows reads the table alone, so the shuffle files behind it go at once.
-        ``scanned``: nothing was exchanged for it, so few tasks can write it in turn;
-        joins and sorts of several partitions in one task would add up in memory.
+        ``few``: few tasks write it, each several partitions in turn; for plans without
+        hash joins, whose maps would add up in a task.
         """
         with setting(self.spark, CLEAN_UP, "true"):
-            (df.coalesce(self.files) if scanned and self.files else df).write.mode("overwrite").parquet(self.path(name))
+            (df.coalesce(self.files) if few and self.files else df).write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:

@@ -35,7 +35,7 @@ def test_rows_are_bounded_for_matrix_methods_alone(spark, monkeypatch):
 
 
 def test_near_vectors_of_two_modalities(spark):
-    assert "vector_duplicate_flags" in registry.QUERIES
+    assert "vector_duplicates" in registry.ORACLE
     rows = [(1, [1.0, 0.0], [0.0, 1.0]), (2, [1.0, 0.003], [0.0, 2.0]), (3, [1.0, 0.003], [1.0, 1.0]), (4, [0.0, 0.0], [3.0, 1.0]), (5, [0.0, 0.0], [3.0, 1.001]), (6, [1.0, 0.2], [0.0, 1.0])]
     df = spark.createDataFrame(rows, "id long, image array<double>, text array<double>")
     assert sorted(map(tuple, VO.vector_duplicates(df, "id", "image", "text").collect())) == [(1, "duplicate"), (2, "duplicate"), (4, "duplicate"), (4, "missing"), (5, "duplicate"), (5, "missing")]
