@@ -21,7 +21,7 @@ PERCENT = 90
 SKETCH_BITS = 18
 #: One shingle in so many is ranked by frequency and comes before all others; a prefix rarely needs more.
 RANKED = 4
-BITMAP = 1024
+BITMAP = 512
 #: A row with more partners than this narrows them by the bitmap's first words before it looks at whole bitmaps.
 MANY = 64
 HEAD_WORDS = 4
@@ -328,13 +328,13 @@ def _verified(work: Workspace, docs: DataFrame, kinds: DataFrame, pairs: DataFra
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))  # u, v
 
     needed = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    needed = work.keep(needed.join(kinds.select("node", "lead"), "node").select("node", F.col("lead.d").alias("d"), F.col("lead.v").alias("v")), f"{name}-needed")
+    needed = work.keep(needed.join(kinds.select("node", "lead"), "node").select("node", F.col("lead.d").alias("d"), F.col("lead.v").alias("v")), f"{name}-needed", few=True)
     texts = maybe_needed(docs, needed).join(needed.hint("shuffle_hash"), (F.col("version") == F.col("v")) & (F.coalesce("doc_id", F.lit(2**63 - 1)) == F.col("d")))
     # repeated rows stand together after the join, so this needs no exchange
     texts = texts.dropDuplicates(["v", "d"]).select("node", "text")
     members = work.keep(texts.mapInArrow(sets, schema), f"{name}-members")
     met = pairs.join(members.select(F.col("node").alias("u"), F.col("members").alias("a")), "u").join(members.select(F.col("node").alias("v"), F.col("members").alias("b")), "v")
-    edges = work.keep(met.select("u", "v", "a", "b").mapInArrow(check, EDGES), f"{name}-edges")
+    edges = work.keep(met.select("u", "v", "a", "b").mapInArrow(check, EDGES), f"{name}-edges", few=True)
     for done in ("needed", "members"):
         work.drop(f"{name}-{done}")
     return edges
@@ -367,7 +367,9 @@ class Links:
         are then inside a component and need no look.
         """
         for r in range(rounds + 1):
-            rest = self.work.keep(self._apart(pairs), f"apart-{self.steps}")
+            rest = self._apart(pairs)
+            if self.tried is not None:
+                rest = self.work.keep(rest, f"apart-{self.steps}", few=True)
             if rest.isEmpty():
                 return
             if r < rounds:
@@ -375,7 +377,7 @@ class Links:
                 chosen = ends.groupBy("c").agg(F.min(F.struct("d", "u", "v")).alias("p")).select("p.u", "p.v").distinct()
             else:
                 chosen = rest.select("u", "v")
-            chosen = self.work.keep(chosen, f"chosen-{self.steps}")
+            chosen = self.work.keep(chosen, f"chosen-{self.steps}", few=True)
             edges = _verified(self.work, self.docs, self.kinds, chosen, self.shingle, self.percent, f"step-{self.steps}")
             self.edges = edges if self.edges is None else self.edges.unionByName(edges)
             self.tried = chosen if self.tried is None else self.tried.unionByName(chosen)
@@ -400,33 +402,35 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
 
     Returns doc_id, version, n_shingles, component_id (smallest id reachable).  Null
     texts are empty; null ids count as larger than all others (a component of such
-    alone has a null id); repeated rows are documents of their own.
+    alone has a null id); repeated rows are documents of their own.  Very long texts
+    are read whole, with memory in proportion to the longest one.
     """
-    work = Workspace(spark, "jaccard-join")
+    work = Workspace(spark, "jaccard-join", docs)
     read = documents(docs, id_col, text_col).withColumn("version", F.xxhash64(F.coalesce("text", F.lit(""))))
-    known = _describe(spark, read, frequency_sketch(read, shingle), shingle, percent)
-    known = work.keep(known.withColumn("node", F.when(F.col("n") > 0, F.xxhash64("f1", "f2", "n"))), "sets")
+    known = work.keep(_describe(spark, read, frequency_sketch(read, shingle), shingle, percent), "sets", few=True)
+    kind = ["f1", "f2", "n"]  # 128 bits and the size tell sets apart; a written number stands for them from here on
     lead = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.col("version").alias("v"))).alias("lead")
-    kinds = known.where("n > 0").groupBy("node").agg(lead, F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"), F.first("wide").alias("wide"))
-    kinds = work.keep(kinds.withColumn("grp", F.xxhash64("n", "prefix")), "kinds")
+    kinds = known.where("n > 0").groupBy(*kind).agg(lead, *(F.first(c).alias(c) for c in ("prefix", "bitmap", "wide")))
+    kinds = work.keep(kinds.withColumns({"grp": F.xxhash64("n", "prefix"), "node": F.monotonically_increasing_id()}), "kinds", few=True)
 
     tokens = kinds.select("node", F.posexplode("prefix").alias("pos", "token"))
     common = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    hits = work.keep(tokens.join(work.keep(common, "common"), "token"), "hits")
+    hits = work.keep(tokens.join(common, "token"), "hits", few=True)
     links = Links(work, read, kinds, shingle, percent)
-    links.try_pairs(work.keep(_narrow_long(_candidates(hits.withColumn("comp", F.col("node")), kinds, percent, True), kinds, percent), "pairs-1"), 1)
+    links.try_pairs(work.keep(_narrow_long(_candidates(hits.withColumn("comp", F.col("node")), kinds, percent, True), kinds, percent), "pairs-1", few=True), 1)
 
     placed = hits.join(links.roots, "node", "left").select("node", "token", "pos", "blocks", F.coalesce("root", "node").alias("comp"))
     split = placed.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("token")
-    placed = placed.join(work.keep(split, "split"), "token")
-    links.try_pairs(work.keep(_narrow_long(_candidates(placed, kinds, percent, False), kinds, percent), "pairs-2"), 0)
+    placed = placed.join(split, "token")
+    links.try_pairs(work.keep(_narrow_long(_candidates(placed, kinds, percent, False), kinds, percent), "pairs-2", few=True), 0)
     roots = links.roots
 
-    named = kinds.select("node", F.col("lead.d").alias("d")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = kinds.select("node", *kind, F.col("lead.d").alias("d")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("d").alias("least"))
-    named = work.keep(named.join(least, "root").select("node", F.nullif(F.col("least"), F.lit(2**63 - 1)).alias("least")), "named")
-    out = known.select("doc_id", "version", "n", "node").join(named, "node", "left")
-    return out.select("doc_id", "version", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    # a plain table: the rows of a frequent kind can be split in the join
+    named = work.keep(named.join(least, "root").select(*kind, F.nullif(F.col("least"), F.lit(2**63 - 1)).alias("least"), F.lit(True).alias("linked")), "named", few=True)
+    out = known.select("doc_id", "version", *kind).join(named, kind, "left")
+    return out.select("doc_id", "version", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("linked"), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

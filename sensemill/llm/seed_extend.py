@@ -37,8 +37,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     """
     work = Workspace(spark, "seed-extend", docs)
     read = X.versioned(documents(docs, id_col, text_col))
-    table = work.keep(X.scan_segments(read, X.WORDS, window, seed), "segments", scanned=True)
-    kinds = work.keep(X.in_groups(X.kinds_of(table)), "kinds")
+    table = work.keep(X.scan_segments(read, X.WORDS, window, seed), "segments", few=True)
+    kinds = work.keep(X.in_groups(X.kinds_of(table)), "kinds", few=True)
     found = X.find_repeats(work, read, table, kinds, X.WORDS, window, directed=True, most=most)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

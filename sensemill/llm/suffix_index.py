@@ -115,7 +115,7 @@ def index_batch(index: SuffixIndex, segments: DataFrame, name: str) -> DataFrame
     """Scan a batch against the index, then add it; the entries found, of the batch and of the levels."""
     with setting(index.spark, _SORTED, "true"), setting(index.spark, CLEAN_UP, "true"):
         new = index.array(segments)
-        found = index.work.keep(index.scan(new), name, scanned=True)
+        found = index.work.keep(index.scan(new), name, few=True)
         index.add(new)
     return found
 
@@ -135,7 +135,7 @@ def remove_repeated_bytes(spark: SparkSession, docs: DataFrame, id_col: str = "d
     """
     work = Workspace(spark, "suffix-index", docs)
     read = X.versioned(documents(docs, id_col, text_col))
-    segments = work.keep(X.scan_segments(read, X.BYTES, window, seed), "segments", scanned=True)
+    segments = work.keep(X.scan_segments(read, X.BYTES, window, seed), "segments", few=True)
     index = SuffixIndex(work, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # a batch is what arrives together; here a hash deals the texts
     found = [index_batch(index, segments.where(F.pmod("version", F.lit(batches)) == b), f"found-{b}") for b in range(batches)]
@@ -143,7 +143,7 @@ def remove_repeated_bytes(spark: SparkSession, docs: DataFrame, id_col: str = "d
     lead = F.min(F.struct("d", "v", "f")).alias("lead")
     entries = reduce(DataFrame.unionByName, found).groupBy(*X.KIND).agg(F.max("n").alias("n"), lead, F.min("gap").alias("gap"), F.min("span").alias("span"))
     entries = entries.select(*X.KIND, "n", F.col("lead.d").alias("d"), F.col("lead.v").alias("v"), F.col("lead.f").alias("f"), "gap", "span")
-    kinds = work.keep(X.in_groups(entries), "kinds")
+    kinds = work.keep(X.in_groups(entries), "kinds", few=True)
     matched = X.find_repeats(work, read, segments, kinds, X.BYTES, window, directed=False, most=most)
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
