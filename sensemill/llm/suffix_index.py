@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -36,6 +37,8 @@ SEED = 96
 BATCHES = 3
 #: Spark's setting that a bucket in one sorted file counts as sorted.
 _SORTED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+#: Spark's setting that a join on more columns than the buckets' exchanges both sides all the same.
+_ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 
 KEPT = fields(doc_id="long", n_bytes="long", n_removed="long", n_spans="long", kept_sha256="string", kept="binary")
 
@@ -111,9 +114,16 @@ class SuffixIndex:
         self.levels = []
 
 
+@contextmanager
+def in_place(spark: SparkSession) -> Iterator[None]:
+    """Tables bucketed and sorted alike are joined as they lie."""
+    with setting(spark, _SORTED, "true"), setting(spark, _ALL_KEYS, "false"):
+        yield
+
+
 def index_batch(index: SuffixIndex, segments: DataFrame, name: str) -> DataFrame:
     """Scan a batch against the index, then add it; the entries found, of the batch and of the levels."""
-    with setting(index.spark, _SORTED, "true"), setting(index.spark, CLEAN_UP, "true"):
+    with in_place(index.spark), setting(index.spark, CLEAN_UP, "true"):
         new = index.array(segments)
         found = index.work.keep(index.scan(new), name, few=True)
         index.add(new)

@@ -89,12 +89,13 @@ def test_levels_are_neither_exchanged_nor_sorted_again(spark):
     rows, schema = awkward(7)
     docs = X.versioned(documents(spark.createDataFrame(rows, schema)))
     index = suffix_index.SuffixIndex(work, 4)
-    with setting(spark, suffix_index._SORTED, "true"), setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+    with suffix_index.in_place(spark), setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"), setting(spark, "spark.sql.adaptive.coalescePartitions.enabled", "false"):
         for b in range(7):
             new = index.array(X.scan_segments(docs.where(f"pmod(version, 7) = {b}"), X.BYTES, 400, 96))
             for level in index.levels:
-                plan = level.table.join(new.table.select("anchor"), "anchor", "left_semi")._jdf.queryExecution().executedPlan().toString()
-                assert "Exchange" not in plan and "Sort [" not in plan and "SortMergeJoin" in plan
+                for keys, how in ((["anchor"], "left_semi"), (X.KIND, "left_semi"), (X.KIND, "full_outer")):
+                    plan = level.table.join(new.table.select(*keys), keys, how)._jdf.queryExecution().executedPlan().toString()
+                    assert "Exchange" not in plan and "Sort [" not in plan and "SortMergeJoin" in plan
             index.add(new)
             files = [f.name for f in Path(work.path(index.levels[-1].name).removeprefix("file:")).glob("*.parquet")]
             assert len({f.rpartition("_")[2] for f in files}) == len(files)  # a bucket is one file
