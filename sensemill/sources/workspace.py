@@ -14,6 +14,7 @@ from pyspark.sql.window import Window as W
 _OWN: list[tempfile.TemporaryDirectory] = []
 #: Spark's setting that shuffle files go as soon as the statement that made them has ended.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_PARTITIONS = "spark.sql.shuffle.partitions"
 #: Spark's bound of the bytes of one Arrow batch, and what the operators set it to where the session has Spark's own default.
 _BATCH_BYTES, BATCH_BYTES, _DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20, 64 << 20
 
@@ -55,14 +56,14 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
 
 
 #: Bytes of input, as Spark estimates them, for each file of a table between two steps.
-FILE_BYTES = 32 << 20
+FILE_BYTES = 48 << 20
 
 
 class Workspace:
     """Tables written to the shared folder during one operator call; they go when the driver's JVM ends, if not before.
 
-    With ``input``, the table that a call works on, tables kept with ``few`` have one file
-    for each FILE_BYTES of that, or one for each core if that is more.
+    With ``input``, the table that a call works on, exchanges have one partition for each
+    FILE_BYTES of that, or one for each core if that is more, and so have tables files.
     """
 
     def __init__(self, spark: SparkSession, name: str, input: DataFrame | None = None):
@@ -70,7 +71,7 @@ class Workspace:
         self.files = None
         if input is not None:
             size = int(str(input._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-            self.files = min(max(spark.sparkContext.defaultParallelism, -(-size // FILE_BYTES)), 1 << 22)
+            self.files = max(spark.sparkContext.defaultParallelism, -(-size // FILE_BYTES)) if size < 1 << 60 else None  # unknown
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         bound_batches(spark)
         path, fs = self._hadoop(self.root)
@@ -90,10 +91,17 @@ class Workspace:
         ``few``: few tasks write it, each several partitions in turn; for plans without
         hash joins, whose maps would add up in a task.
         """
-        with setting(self.spark, CLEAN_UP, "true"):
+        with self.sized():
             (df.coalesce(self.files) if few and self.files else df).write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    @contextmanager
+    def sized(self) -> Iterator[None]:
+        """Settings of the statements that write tables: shuffle files go with the statement, partitions follow the input."""
+        partitions = str(self.files) if self.files else self.spark.conf.get(_PARTITIONS)
+        with setting(self.spark, CLEAN_UP, "true"), setting(self.spark, _PARTITIONS, partitions):
+            yield
+
     def drop(self, name: str) -> None:
         """Delete a table that nothing reads any more."""
         path, fs = self._hadoop(self.path(name))
