@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import extend as X
 from . import kernel as K
-from .shared import CLEAN_UP, Workspace, documents, fields, setting
+from .shared import Workspace, documents, fields, setting
 
 WINDOW = 400
 #: Bytes of an anchor.
@@ -123,7 +123,7 @@ def in_place(spark: SparkSession) -> Iterator[None]:
 
 def index_batch(index: SuffixIndex, segments: DataFrame, name: str) -> DataFrame:
     """Scan a batch against the index, then add it; the entries found, of the batch and of the levels."""
-    with in_place(index.spark), setting(index.spark, CLEAN_UP, "true"):
+    with in_place(index.spark), index.work.sized():
         new = index.array(segments)
         found = index.work.keep(index.scan(new), name, few=True)
         index.add(new)
@@ -146,7 +146,8 @@ def remove_repeated_bytes(spark: SparkSession, docs: DataFrame, id_col: str = "d
     work = Workspace(spark, "suffix-index", docs)
     read = X.versioned(documents(docs, id_col, text_col))
     segments = work.keep(X.scan_segments(read, X.BYTES, window, seed), "segments", few=True)
-    index = SuffixIndex(work, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    with work.sized():
+        index = SuffixIndex(work, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # a batch is what arrives together; here a hash deals the texts
     found = [index_batch(index, segments.where(F.pmod("version", F.lit(batches)) == b), f"found-{b}") for b in range(batches)]
     index.close()

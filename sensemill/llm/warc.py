@@ -34,7 +34,15 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+# Hadoop's names of stores that Arrow calls otherwise.
+_SCHEMES = {"s3a://": "s3://", "s3n://": "s3://"}
+
+
 def open_uri(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a URI and the path in it; file, s3 (s3a, s3n), gs, hdfs and abfs are known."""
+    for name, other in _SCHEMES.items():
+        if uri.startswith(name):
+            uri = other + uri.removeprefix(name)
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
@@ -268,7 +276,9 @@ class WarcReader(DataSourceReader):
                 return False
         return True
 
-    def read(self, partition: FilePart) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: FilePart | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # what Spark makes of an archive without files
+            return
         types = dict(zip(NAMES, [pa.string()] * 5 + [pa.int64()] * 2 + [pa.binary()], strict=True))
         at = [NAMES.index(n) for n in self.names]
 

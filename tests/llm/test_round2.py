@@ -158,7 +158,7 @@ def strength(units):
 
 def test_posterior_by_hand(spark):
     pages = []
-    add = lambda host, path, n: pages.extend((len(pages) + i, f"http://{host}{path}{i}") for i in range(n))
+    add = lambda host, path, n: pages.extend([(len(pages) + i, f"http://{host}{path}{i}") for i in range(n)])
     add("bad.shop.com", "/de/", 60), add("bad.shop.com", "/x/", 5), add("good.news.com", "/fr/", 40), add("good.news.com", "/x/", 5)
     add("one.news.com", "/de/", 1), add("one.news.com", "/x/", 3), add("fresh.shop.com", "/x/", 2), add("a.co.uk", "/x/", 2), add("ok.example.com", "/fr/", 30)
     rules = [reputation.Rule("allow", "com", "/fr/"), reputation.Rule("block", "com", "/de/")]
