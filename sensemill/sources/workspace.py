@@ -92,9 +92,13 @@ class Workspace:
         hash joins, whose maps would add up in a task.
         """
         with self.sized():
-            (df.coalesce(self.files) if few and self.files else df).write.mode("overwrite").parquet(self.path(name))
+            (self.gathered(df) if few else df).write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def gathered(self, df: DataFrame) -> DataFrame:
+        """The same rows in no more partitions than a table has files; see ``few``."""
+        return df.coalesce(self.files) if self.files else df
+
     @contextmanager
     def sized(self) -> Iterator[None]:
         """Settings of the statements that write tables: shuffle files go with the statement, partitions follow the input."""
