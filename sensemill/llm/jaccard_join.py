@@ -328,15 +328,14 @@ def _verified(work: Workspace, docs: DataFrame, kinds: DataFrame, pairs: DataFra
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))  # u, v
 
     needed = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    needed = work.keep(needed.join(kinds.select("node", "lead"), "node").select("node", F.col("lead.d").alias("d"), F.col("lead.v").alias("v")), f"{name}-needed", few=True)
+    needed = needed.join(kinds.select("node", "lead"), "node").select("node", F.col("lead.d").alias("d"), F.col("lead.v").alias("v"))
     texts = maybe_needed(docs, needed).join(needed.hint("shuffle_hash"), (F.col("version") == F.col("v")) & (F.coalesce("doc_id", F.lit(2**63 - 1)) == F.col("d")))
     # repeated rows stand together after the join, so this needs no exchange
     texts = texts.dropDuplicates(["v", "d"]).select("node", "text")
     members = work.keep(texts.mapInArrow(sets, schema), f"{name}-members")
     met = pairs.join(members.select(F.col("node").alias("u"), F.col("members").alias("a")), "u").join(members.select(F.col("node").alias("v"), F.col("members").alias("b")), "v")
     edges = work.keep(met.select("u", "v", "a", "b").mapInArrow(check, EDGES), f"{name}-edges", few=True)
-    for done in ("needed", "members"):
-        work.drop(f"{name}-{done}")
+    work.drop(f"{name}-members")
     return edges
 
 
@@ -430,7 +429,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     # a plain table: the rows of a frequent kind can be split in the join
     named = work.keep(named.join(least, "root").select(*kind, F.nullif(F.col("least"), F.lit(2**63 - 1)).alias("least"), F.lit(True).alias("linked")), "named", few=True)
     out = known.select("doc_id", "version", *kind).join(named, kind, "left")
-    return out.select("doc_id", "version", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("linked"), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return work.gathered(out).select("doc_id", "version", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("linked"), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -443,6 +442,6 @@ def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     mark = uuid.uuid4().hex
     d, v = f"d_{mark}", f"v_{mark}"
     keep = found.where("n_shingles = 0 or doc_id <=> component_id").select(F.col("doc_id").alias(d), F.col("version").alias(v)).distinct()
-    keep = Workspace(spark, "keep-one").keep(keep, "kept")
+    keep = Workspace(spark, "keep-one", docs).keep(keep, "kept", few=True)
     mine = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
     return docs.join(keep.hint("shuffle_hash"), docs[id_col].cast("long").eqNullSafe(F.col(d)) & (mine == F.col(v)), "left_semi")

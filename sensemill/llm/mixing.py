@@ -85,12 +85,14 @@ def weighted_mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
 
     Null sources form one source, after all others; null and empty texts have size 0
     and are taken for nothing; repeated rows are documents of their own, apart only
-    by size; reruns agree.
+    by size; null ids are equal to each other; other columns don't matter; reruns agree.
+    A very long text is taken whole or not at all.  The targets are worked out in
+    windows over one row a source, so sources must be few against documents.
     """
-    work = Workspace(spark, "mixing")
+    work = Workspace(spark, "mixing", docs)
     doc = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
     doc = doc.withColumn("h", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"#{seed}"))))
-    doc = work.keep(doc, "sizes")
+    doc = work.keep(doc, "sizes", few=True)
     sources = doc.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     goal = work.keep(targets(sources.select("source", "source_size"), weights, budget_percent, epochs), "targets")
     total = sources.agg(F.sum("n").alias("n"), F.sum("source_size").alias("words")).first()
@@ -99,7 +101,7 @@ def weighted_mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     unit = F.conv(F.substring("h", 1, 12), 16, 10).cast("double") / float(1 << 48)
     queued = running_sum(doc, ["source"], unit, ["h", "doc_id", "size"], "size", fine, "upto")
     queued = queued.join(goal.withColumnRenamed("source", "_source"), _equal({"source": "_source"})).drop("_source", "weight")
-    queued = work.keep(queued, "queued")
+    queued = work.keep(queued, "queued", few=True)
     # every copy of a document, by its finish time as a share of the last one that can matter
     copies = queued.where("size > 0").select("doc_id", "h", "size", "source", "target", "source_size", "upto", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
     copies = copies.withColumn("finish", (F.col("epoch") * F.col("source_size") + F.col("upto")) / F.col("target"))
@@ -108,4 +110,4 @@ def weighted_mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     keys = ["doc_id", "h", "size", "source", "upto"]
     taken = taken.where(F.col("total") <= budget).groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.count("*").alias("n"))
     out = queued.join(taken, _equal({k: f"_{k}" for k in keys}), "left").withColumn("copies", F.coalesce("n", F.lit(0)).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return work.gathered(out).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

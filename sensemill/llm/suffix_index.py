@@ -57,6 +57,7 @@ class SuffixIndex:
 
     def __init__(self, work: Workspace, buckets: int):
         self.work, self.spark, self.buckets = work, work.spark, buckets
+        self._old: list[Level] = []
         self.levels: list[Level] = []
 
     def _write(self, df: DataFrame, batches: int) -> Level:
@@ -64,10 +65,6 @@ class SuffixIndex:
         df.write.bucketBy(self.buckets, "anchor").sortBy(*X.KIND).option("path", self.work.path(name)).saveAsTable(name)
         return Level(batches, name, self.spark.table(name))
 
-    def _drop(self, level: Level) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {level.name}")
-        self.work.drop(level.name)
-
     def array(self, segments: DataFrame) -> Level:
         """The suffix array of one batch."""
         return self._write(X.kinds_of(segments).repartition(self.buckets, "anchor").sortWithinPartitions(*X.KIND), 1)
@@ -99,19 +96,20 @@ class SuffixIndex:
         return self._write(merged, a.batches + b.batches)
 
     def add(self, level: Level) -> None:
-        """Levels of equal size merge."""
+        """Levels of equal size merge; scans made before still read the merged ones."""
         while self.levels and self.levels[-1].batches == level.batches:
             old = self.levels.pop()
             merged = self.merge(old, level)
-            self._drop(old)
-            self._drop(level)
+            self._old += [old, level]
             level = merged
         self.levels.append(level)
 
     def close(self) -> None:
-        for level in self.levels:
-            self._drop(level)
-        self.levels = []
+        """Delete all levels; scans must have been read."""
+        for level in [*self._old, *self.levels]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {level.name}")
+            self.work.drop(level.name)
+        self._old, self.levels = [], []
 
 
 @contextmanager
@@ -121,11 +119,11 @@ def in_place(spark: SparkSession) -> Iterator[None]:
         yield
 
 
-def index_batch(index: SuffixIndex, segments: DataFrame, name: str) -> DataFrame:
-    """Scan a batch against the index, then add it; the entries found, of the batch and of the levels."""
+def index_batch(index: SuffixIndex, segments: DataFrame) -> DataFrame:
+    """Scan a batch against the levels as they are, then add it; the entries found, of the batch and of the levels."""
     with in_place(index.spark), index.work.sized():
         new = index.array(segments)
-        found = index.work.keep(index.scan(new), name, few=True)
+        found = index.scan(new)
         index.add(new)
     return found
 
@@ -149,12 +147,13 @@ def remove_repeated_bytes(spark: SparkSession, docs: DataFrame, id_col: str = "d
     with work.sized():
         index = SuffixIndex(work, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # a batch is what arrives together; here a hash deals the texts
-    found = [index_batch(index, segments.where(F.pmod("version", F.lit(batches)) == b), f"found-{b}") for b in range(batches)]
-    index.close()
+    found = [index_batch(index, segments.where(F.pmod("version", F.lit(batches)) == b)) for b in range(batches)]
     lead = F.min(F.struct("d", "v", "f")).alias("lead")
     entries = reduce(DataFrame.unionByName, found).groupBy(*X.KIND).agg(F.max("n").alias("n"), lead, F.min("gap").alias("gap"), F.min("span").alias("span"))
     entries = entries.select(*X.KIND, "n", F.col("lead.d").alias("d"), F.col("lead.v").alias("v"), F.col("lead.f").alias("f"), "gap", "span")
-    kinds = work.keep(X.in_groups(entries), "kinds", few=True)
+    with in_place(spark):
+        kinds = work.keep(X.in_groups(entries), "kinds", few=True)
+    index.close()
     matched = X.find_repeats(work, read, segments, kinds, X.BYTES, window, directed=False, most=most)
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
