@@ -2,7 +2,7 @@
 
 Quality classifier, n-gram Jaccard join, benchmark decontamination, personal data,
 mixing to target weights.  Every stage is written as Parquet and read again as the
-next one's documents.
+next one's documents, in as many files as its input has pieces of some 50 MB.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from sensemill.llm.shared import Workspace, table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier doesn't reject."""
-    return compression.filter_by_quality(spark, docs, quality_model(docs, table(spark, sf_dir, "labels")), QUALITY_THRESHOLD)
+    kept = compression.filter_by_quality(spark, docs, quality_model(docs, table(spark, sf_dir, "labels")), QUALITY_THRESHOLD)
+    return Workspace(spark, "quality", docs).gathered(kept)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,12 +28,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents (5 % of words hit) go; from others the hit words are cut."""
-    return decontaminate.clean(spark, docs, table(spark, sf_dir, "benchmark"))
+    return Workspace(spark, "decontamination", docs).gathered(decontaminate.clean(spark, docs, table(spark, sf_dir, "benchmark")))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is masked, disguised or not."""
-    return pii.redact(docs)
+    return Workspace(spark, "personal-data", docs).gathered(pii.redact(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +49,7 @@ STAGES = [
     ("mixing to target weights", mix),
 ]
 
-#: Compression, personal data and the join have no SQL form; tests hold the stages against brute force.
+#: Compression, personal data and the join have no SQL form; tests hold every stage and the whole against brute force.
 ORACLE_SQL = None
 
 
