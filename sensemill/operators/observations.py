@@ -77,6 +77,11 @@ def drop_flagged(df: DataFrame, flags: DataFrame, on: str, literal: bool = False
     return df.join(flags, on, "left_semi" if literal else "left_anti")
 
 
+def both_modalities(images: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """Observations with both vectors (key, image; key, text)."""
+    return images.join(texts, key)
+
+
 def early_fusion(df: DataFrame, image: str, text: str, image_times: int, text_times: int) -> DataFrame:
     """One vector of both modalities, each repeated so many times."""
     return df.withColumn("fused", F.concat(repeated(F.col(image), image_times), repeated(F.col(text), text_times)))

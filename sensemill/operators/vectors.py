@@ -47,6 +47,12 @@ def as_arrays(stats: DataFrame, cluster: str) -> DataFrame:
     return g.select(cluster, F.transform("_rows", lambda x: x["mean"]).alias("mean"), F.transform("_rows", lambda x: x["var"]).alias("var"), "n")
 
 
+def means_or_zeros(stats: DataFrame, clusters: DataFrame, cluster: str, size: int) -> DataFrame:
+    """cluster, dim, mean for every cluster; zeros for those without rows."""
+    every = clusters.select(cluster).distinct().withColumn("dim", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    return every.join(stats.select(cluster, "dim", "mean"), [cluster, "dim"], "left").select(cluster, "dim", F.coalesce("mean", F.lit(0.0)).alias("mean"))
+
+
 def complete_variances(stats: DataFrame, weighted: bool = True) -> DataFrame:
     """Zero variances replaced by the dimension's mean of the others, weighted by count; 1 if there is none."""
     some = F.col("var") != 0

@@ -291,7 +291,8 @@ def pairwise_cosine_penalty(spark, d):
 @query(f"SELECT vec_id, dim, round(CASE WHEN dim < {CUT} THEN v[dim + 1] ELSE v[{CUT + 1} + (dim - {CUT}) % {DIM - CUT}] END, 6) AS x FROM (SELECT vec_id, v, unnest(range(0, {DIM + 2 * (DIM - CUT)}))::INT AS dim FROM {V_SQL})")
 def early_fusion(spark, d):
     image, text = V.fusion_redundancy(0.5, CUT, DIM - CUT)
-    df = emb(spark, d).select("vec_id", F.slice("v", 1, CUT).alias("img"), F.slice("v", CUT + 1, DIM - CUT).alias("txt"))
+    e = emb(spark, d)
+    df = O.both_modalities(e.select("vec_id", F.slice("v", 1, CUT).alias("img")), e.select("vec_id", F.slice("v", CUT + 1, DIM - CUT).alias("txt")), "vec_id")
     return VO.dims(O.early_fusion(df, "img", "txt", image, text), ["vec_id"], "fused").select("vec_id", "dim", F.round("x", 6).alias("x"))
 
 
@@ -320,6 +321,13 @@ def cluster_mean_var(spark, d):
     return _stats(spark, d).select("label", "dim", F.round("mean", 6).alias("mean"), F.round("var", 6).alias("var"), "n")
 
 
+@query(f"SELECT label, dim, round(coalesce(mean, 0), 6) AS mean FROM (SELECT label, unnest(range(0, {DIM}))::INT AS dim FROM (SELECT DISTINCT label FROM embeddings UNION SELECT 1000 + n_nationkey FROM nation)) LEFT JOIN (SELECT label, dim, mean FROM {STATS_SQL}) USING (label, dim)")
+def cluster_means_or_zeros(spark, d):
+    """Means of clusters, some of them empty."""
+    labels = emb(spark, d).select("label").union(io.table(spark, d, "nation").select(F.col("n_nationkey") + 1000))
+    return VO.means_or_zeros(_stats(spark, d), labels, "label", DIM).select("label", "dim", F.round("mean", 6).alias("mean"))
+
+
 ZEROED_SQL = f"(SELECT label, dim, CASE WHEN (label + dim) % 7 = 0 OR dim = 3 THEN 0 ELSE var END AS var, n FROM {STATS_SQL})"
 
 
@@ -356,9 +364,10 @@ TWO_SQL = f"""(SELECT vec_id, v[1:{CUT}] AS i, v[{CUT + 1}:{DIM}] AS t FROM {V_S
 _ALIKE = "(({n}.{m}0 AND {o}.{m}0) OR (NOT {n}.{m}0 AND NOT {o}.{m}0 AND abs(list_dot_product({n}.{m}, {o}.{m}) / {n}.{m}n / {o}.{m}n - 1) <= 1.001e-5))"
 
 
-@query(f"WITH w AS (SELECT vec_id, i, t, sqrt(list_dot_product(i, i)) AS i_n, sqrt(list_dot_product(t, t)) AS t_n FROM {TWO_SQL}), z AS (SELECT vec_id, i, t, i_n AS \"in\", t_n AS tn, i_n = 0 AS i0, t_n = 0 AS t0, i_n <= 1e-8 OR t_n <= 1e-8 AS gone FROM w), p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM z a JOIN z b ON a.vec_id < b.vec_id AND {_ALIKE.format(n='a', o='b', m='i')} AND {_ALIKE.format(n='a', o='b', m='t')}) SELECT vec_id, 'missing' AS reason FROM z WHERE gone UNION ALL SELECT x, 'duplicate' FROM (SELECT x FROM p UNION SELECT y FROM p)".replace("a.in", 'a."in"').replace("b.in", 'b."in"'))
-def vector_duplicates(spark, d):
-    """Flags by the rule of two modalities; the first CUT dimensions are one, the others the second."""
+FLAGGED_SQL = f"WITH w AS (SELECT vec_id, i, t, sqrt(list_dot_product(i, i)) AS i_n, sqrt(list_dot_product(t, t)) AS t_n FROM {TWO_SQL}), z AS (SELECT vec_id, i, t, i_n AS \"in\", t_n AS tn, i_n = 0 AS i0, t_n = 0 AS t0, i_n <= 1e-8 OR t_n <= 1e-8 AS gone FROM w), p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM z a JOIN z b ON a.vec_id < b.vec_id AND {_ALIKE.format(n='a', o='b', m='i')} AND {_ALIKE.format(n='a', o='b', m='t')}) SELECT vec_id, 'missing' AS reason FROM z WHERE gone UNION ALL SELECT x, 'duplicate' FROM (SELECT x FROM p UNION SELECT y FROM p)".replace("a.in", 'a."in"').replace("b.in", 'b."in"')
+
+
+def _two(spark, d):
     e = emb(spark, d).select("vec_id", F.slice("v", 1, CUT).alias("image"), F.slice("v", CUT + 1, DIM - CUT).alias("text"))
     times = lambda c, k, plus=0.0: F.transform(c, lambda x: x * F.lit(k) + F.lit(plus))
     some = lambda r, image, text: e.where(f"vec_id % 10 = {r}").select((F.col("vec_id") + (r + 1) * 100000).alias("vec_id"), image.alias("image"), text.alias("text"))
@@ -366,7 +375,20 @@ def vector_duplicates(spark, d):
     both = e
     for c in copies:
         both = both.unionByName(c)
-    return VO.vector_duplicates(both, "vec_id", "image", "text")
+    return both
+
+
+@query(FLAGGED_SQL)
+def vector_duplicates(spark, d):
+    """Flags by the rule of two modalities; the first CUT dimensions are one, the others the second."""
+    return VO.vector_duplicates(_two(spark, d), "vec_id", "image", "text")
+
+
+@query(f"SELECT vec_id FROM {TWO_SQL} WHERE vec_id NOT IN (SELECT vec_id FROM ({FLAGGED_SQL}))")
+def dedup_vectors(spark, d):
+    """Observations of two modalities without duplicates and without a missing modality."""
+    both = _two(spark, d)
+    return O.drop_flagged(both, VO.vector_duplicates(both, "vec_id", "image", "text").select("vec_id").distinct(), "vec_id").select("vec_id")
 
 
 # ---------------------------------------------------------------- 4 scoring
@@ -575,6 +597,14 @@ def w2v_train(spark, d):
     return X.train_word_vectors(io.table(spark, d, "documents"), "text", 32, steps=2).getVectors()
 
 
+@query("SELECT doc_id, list_position(regexp_extract_all(lower(text), '[a-z]+'), 'the')::BIGINT AS first_place, list_contains(regexp_extract_all(lower(text), '[a-z]+'), 'of') AS has_of FROM documents WHERE text IS NOT NULL AND list_contains(regexp_extract_all(lower(text), '[a-z]+'), 'the')")
+def array_lookup(spark, d):
+    """Where a word first stands in its document, and whether another does."""
+    words = T.tokens(F.col("text"))
+    found = io.table(spark, d, "documents").select("doc_id", F.array_position(words, "the").alias("first_place"), F.array_contains(words, "of").alias("has_of"))
+    return found.where("first_place > 0")
+
+
 @query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")
 def json_props(spark, d):
     return io.table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))

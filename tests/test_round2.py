@@ -176,8 +176,9 @@ def test_sources(spark, tmp_path):
         warnings.simplefilter("always")
         got = {r.k: r.v for r in io.union_last([df, df.where("v < 2").withColumn("v", F.lit(99))], "k", warn=True).collect()}
     assert any("2 keys" in str(w.message) for w in said) and got["k00"] == 99 and got["k05"] == 5
-    io.write_nested(df, ["k", "v"], at("n"))
-    io.write_nested(df.limit(0), ["k", "v"], at("n"))
+    nested = df.withColumn("x", F.lit(1))
+    io.write_nested(nested, ["k", "v"], at("n"))
+    io.write_nested(nested.limit(0), ["k", "v"], at("n"))
     assert len(list((tmp_path / "n").glob("k=*/v=*"))) == 10
     got = io.extract_features(df.withColumn("b", F.col("k").cast("binary")), "v", "b", lambda xs: [[len(xs), xs[0][0]] for _ in xs], batch=4)
     assert all(r.vec[0] <= 4 and r.vec[1] == ord("k") for r in got.collect()) and got.count() == 10
@@ -209,3 +210,23 @@ def test_windowed_counts(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r.n for r in spark.table("counts").collect()) == [1, 2]
+
+
+def test_topics_are_the_singular_vectors(spark):
+    rng = np.random.default_rng(9)
+    low = rng.normal(size=(40, 3)) @ np.diag([9.0, 5.0, 2.0]) @ rng.normal(size=(3, 25)) + rng.normal(0, 0.05, (40, 25))
+    low[np.abs(low) < 1] = 0
+    weights = spark.createDataFrame([(int(i), f"t{j}", float(low[i, j])) for i, j in zip(*np.nonzero(low))], "id long, token string, w double")
+    got = np.array([r.topics for r in X.lsi_topics(weights, "id", 3, steps=6).orderBy("id").collect()])
+    u, s, _ = np.linalg.svd(low)
+    want = u[:, :3] * s[:3]
+    assert np.abs(got) == pytest.approx(np.abs(want), abs=1e-3 * s[0])
+
+
+def test_pairs_by_blocks(spark):
+    from sensemill.operators import disagree as D
+
+    members = spark.createDataFrame([(i % 2, f"t{i % 3}", i) for i in range(60)], "cluster_id long, term string, obs_id long")
+    alt = spark.createDataFrame([(i, f"a{i % 4}") for i in range(60)], "obs_id long, alt string")
+    pairs = [sorted(map(tuple, D.mismatch_pairs(members, alt, block=n).collect())) for n in (4096, 7)]
+    assert pairs[0] == pairs[1] and len(pairs[0]) == sum(i % 2 == j % 2 and i % 4 != j % 4 for i in range(60) for j in range(i))
