@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -220,11 +221,25 @@ def _bare(a: Aligned) -> Iterator[tuple[int, int, str]]:
             yield m.start(), m.end(), "@" if m["at"] else "."
 
 
+#: What the inner words of a spelled run are, and what an address in bare words holds.
+_SPELLING = frozenset((*SPELLED, *DOT_WORDS, *"0123456789"))
+_SIGNS = frozenset((*AT_WORDS, *DOT_WORDS))
+
+
 def _worth_it(text: str) -> bool:
-    """Does any transducer rewrite something?  As long as none does, each sees the text itself."""
+    """Does any transducer rewrite something?  As long as none does, each sees the text itself.
+
+    Words alone rule most texts out, before any pattern is tried on them: the inner
+    words of a spelled run stand side by side, and bare addresses hold a sign's name.
+    """
     if not text.isascii() and any(plain_character(c) != c for c in set(text)):
         return True
-    return bool(_BRACKETED.search(text) or _SPELLED_RUN.search(text) or _BARE_CORE.search(text) and any(True for _ in _bare_addresses(text)))
+    if _BRACKETED.search(text):
+        return True
+    words = text.casefold().replace(".", " ").replace(",", " ").replace("-", " ").split()
+    if not _SPELLING.isdisjoint(words) and any(a in _SPELLING and b in _SPELLING for a, b in itertools.pairwise(words)) and _SPELLED_RUN.search(text):
+        return True
+    return not _SIGNS.isdisjoint(words) and bool(_BARE_CORE.search(text)) and any(True for _ in _bare_addresses(text))
 
 
 def detect_disguised(text: str, base: list[Span]) -> list[Span]:
