@@ -314,7 +314,7 @@ def scan_windows(rows: DataFrame, units: Units, window: int) -> DataFrame:
 def _large_hits(work: Workspace, contexts: DataFrame, units: Units, window: int, directed: bool, most: int, block: int) -> DataFrame:
     """Hits of the kinds of large groups: groups of blocks, pair by pair where these are small, else window by window."""
     cut = ["key", "e1", "e2"]
-    blocks = scan_blocks(contexts, units, window, block)  # made twice: that costs less than a table of it
+    blocks = work.keep(scan_blocks(contexts, units, window, block), "blocks", few=True)
     lead = F.min(F.struct("d", *KIND)).alias("lead")
     parts = blocks.groupBy(*cut).agg(F.sum("n").alias("n"), lead, F.min("near").alias("near"), F.min("far").alias("far"))
     parts = work.keep(parts, "block-kinds", few=True)
@@ -322,7 +322,7 @@ def _large_hits(work: Workspace, contexts: DataFrame, units: Units, window: int,
     differing = parts.join(groups, "key").select(*cut, "n", "k", F.col("lead.d").alias("d"), *(F.col(f"lead.{c}").alias(c) for c in KIND), "near", "far")
     met = work.keep(differing.join(contexts.select(*KIND, "gap", "content"), KIND), "block-contexts", few=True)
     small = pair_hits(met.where(F.col("k") <= most).drop(*KIND).withColumnsRenamed({"e1": "c1", "e2": "c2"}), units, window, directed)
-    windows = scan_windows(met.where(F.col("k") > most), units, window)  # made twice, too
+    windows = scan_windows(met.where(F.col("k") > most), units, window)  # made twice: that costs less than a table of it
     same = windows.groupBy("h1", "h2").agg(F.min("d").alias("least"), F.max("d").alias("most"), F.sum("n").alias("times"))
     same = same.where("least < most" if directed else "times > 1").drop("most", "times")
     single = windows.join(same, ["h1", "h2"]).where("d > least" if directed else "true").select("key", F.col("e1").alias("c1"), F.col("e2").alias("c2"), F.col("at").alias("near"), F.col("at").alias("far"))
