@@ -167,7 +167,7 @@ def scan_contexts(docs: DataFrame, kinds: DataFrame, units: Units, window: int)
 
     lists = kinds.groupBy("d", "v").agg(F.collect_list(F.struct(*CONTEXTS.names[:-1], "f")).alias("places"))
     texts = maybe_needed(docs, kinds.select("v"))
-    met = texts.join(lists.hint("shuffle_hash"), (F.col("version") == F.col("v")) & (own_id() == F.col("d")))
+    met = texts.join(lists.hint("merge"), (F.col("version") == F.col("v")) & (own_id() == F.col("d")))
     # repeated rows stand together after the join, so this needs no exchange
     return met.dropDuplicates(["v", "d"]).select("text", "places").mapInArrow(scan, CONTEXTS)
 
@@ -336,7 +336,7 @@ def _large_hits(work: Workspace, contexts: DataFrame, units: Units, window: int,
 
 def find_hits(work: Workspace, docs: DataFrame, kinds: DataFrame, units: Units, window: int, directed: bool, most: int = MOST, block: int = BLOCK) -> DataFrame:
     """For each kind (with ``k``) that has any: its hits, windows shared with other kinds of its anchor, as ways to the anchor."""
-    contexts = work.keep(scan_contexts(docs, kinds.where("k > 1"), units, window), "contexts")
+    contexts = work.keep(scan_contexts(docs, kinds.where("k > 1"), units, window), "contexts", few=True)
     rows = contexts.where(F.col("k") <= most).withColumns({"near": F.col("gap") - F.col("span"), "far": F.col("gap"), "key": F.col("anchor")})
     hits = pair_hits(rows, units, window, directed)
     large = contexts.where(F.col("k") > most)

@@ -329,10 +329,10 @@ def _verified(work: Workspace, docs: DataFrame, kinds: DataFrame, pairs: DataFra
 
     needed = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     needed = needed.join(kinds.select("node", "lead"), "node").select("node", F.col("lead.d").alias("d"), F.col("lead.v").alias("v"))
-    texts = maybe_needed(docs, needed).join(needed.hint("shuffle_hash"), (F.col("version") == F.col("v")) & (F.coalesce("doc_id", F.lit(2**63 - 1)) == F.col("d")))
+    texts = maybe_needed(docs, needed).join(needed.hint("merge"), (F.col("version") == F.col("v")) & (F.coalesce("doc_id", F.lit(2**63 - 1)) == F.col("d")))
     # repeated rows stand together after the join, so this needs no exchange
     texts = texts.dropDuplicates(["v", "d"]).select("node", "text")
-    members = work.keep(texts.mapInArrow(sets, schema), f"{name}-members")
+    members = work.keep(texts.mapInArrow(sets, schema), f"{name}-members", few=True)
     met = pairs.join(members.select(F.col("node").alias("u"), F.col("members").alias("a")), "u").join(members.select(F.col("node").alias("v"), F.col("members").alias("b")), "v")
     edges = work.keep(met.select("u", "v", "a", "b").mapInArrow(check, EDGES), f"{name}-edges", few=True)
     work.drop(f"{name}-members")
