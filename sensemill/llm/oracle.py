@@ -113,11 +113,41 @@ SELECT page_id, payload_bytes,
 FROM r
 """
 
+OP9 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 90 * (a.n + b.n - c)),
+ends AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT x AS doc_id, x AS root FROM ends UNION SELECT y, root FROM reach JOIN ends ON x = reach.doc_id),
+least AS (SELECT doc_id, min(root) AS root FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
+
+OP6 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+win AS (SELECT r, i, md5(substr(x, 2 * i + 1, 800)) AS g FROM (SELECT r, x, unnest(range(0, n - 399)) AS i FROM d WHERE n >= 400)),
+twice AS (SELECT g FROM win GROUP BY g HAVING count(*) > 1),
+hits AS (SELECT r, i, i > lag(i, 1, -1000) OVER (PARTITION BY r ORDER BY i) + 400 AS fresh FROM win JOIN twice USING (g)),
+runs AS (SELECT r, min(i) AS s, max(i) + 400 AS e FROM (SELECT r, i, sum(fresh::INT) OVER (PARTITION BY r ORDER BY i) AS k FROM hits) GROUP BY r, k),
+ends AS (SELECT r, s, e FROM runs UNION ALL SELECT r, n, n FROM d),
+parts AS (SELECT r, lag(e, 1, 0) OVER (PARTITION BY r ORDER BY s, e) AS a, s AS b FROM ends),
+kept AS (SELECT r, string_agg(substr(x, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS h FROM parts JOIN d USING (r) WHERE b > a GROUP BY r),
+gone AS (SELECT r, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(h, ''))) AS kept_sha256
+FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_suffix_array_quality": OP1,
     "op3_fair_queue_mix": OP3,
     "op4_seed_extend_dedup": OP4,
     "op5_decontamination": OP5,
+    "op6_suffix_index_dedup": OP6,
     "op8_host_reputation": OP8,
+    "op9_jaccard_prefix_join": OP9,
     "op10_warc_archive": OP10,
 }
