@@ -977,9 +977,11 @@ def _merge(method):
     return lambda spark, d: C.merge_senses(VO.as_arrays(VO.cluster_mean_var(_senses(spark, d), "sense", "v"), "sense"), "sense", "mean", method)
 
 
-for _method, _options in (("none", {}), ("cosine", {"margin": 0.5}), ("gap", {"min_size": 10}), ("dpgmm", {}), ("ms", {}), ("sc", {"k": 2})):
+query("SELECT label::VARCHAR AS term, vec_id, 0::BIGINT AS sense FROM embeddings", name="split_senses_none")(_split("none"))
+query("SELECT DISTINCT vec_id % 50 AS sense, dense_rank() OVER (ORDER BY vec_id % 50) - 1 AS label FROM embeddings", name="merge_senses_none")(_merge("none"))
+for _method, _options in (("cosine", {"margin": 0.5}), ("gap", {"min_size": 10}), ("dpgmm", {}), ("ms", {}), ("sc", {"k": 2})):
     query(name=f"split_senses_{_method}")(_split(_method, **_options))
-for _method in (*C.MERGES, "ha_fixed_kl"):
+for _method in (*(m for m in C.MERGES if m != "none"), "ha_fixed_kl"):
     query(name=f"merge_senses_{_method}")(_merge(_method))
 
 
