@@ -138,8 +138,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 def quality_scores(spark: SparkSession, docs: DataFrame, model: CompressionModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A score in [0, 1] for each row's whole text; null, empty and blank texts get the prior.
 
-    Repeated rows get equal scores.  No exchange: the model is two dictionaries of
-    DICT_BYTES and a few numbers.
+    Repeated rows get equal scores, null ids stay; other columns don't matter.  A very
+    long text is compressed piece by piece, so it costs its own size alone.  No
+    exchange: the model is two dictionaries of DICT_BYTES and a few numbers.
     """
     shared = spark.sparkContext.broadcast(model)
 

@@ -204,7 +204,8 @@ def remove_hit_words(hits: DataFrame) -> DataFrame:
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", ngram: int = NGRAM, min_percent: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` with all columns: contaminated ones go, from others the hit words are cut.
 
-    A text without hits stays as it is, a null one null.  Hits of all blocks of a larger
+    A text without hits stays as it is, a null one null; repeated rows are judged alone,
+    very long texts whole, and columns may have any names.  Hits of all blocks of a larger
     benchmark are united on the original text, in a table kept in the shared folder
     between two blocks, before anything is dropped or cut.
     """

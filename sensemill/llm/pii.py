@@ -310,7 +310,11 @@ def mask(text: str) -> str:
 
 
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """The same rows and columns with personal data masked in the text; null stays null."""
+    """The same rows and columns with personal data masked in the text; null stays null.
+
+    Empty, repeated and very long texts are masked like others, each row alone; columns
+    may have any names.
+    """
     where = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -113,7 +113,8 @@ def judge_urls(spark: SparkSession, pages: DataFrame, rules: list[Rule], id_col:
     upper bound of the share of good pages stays below ``threshold``.
 
     Null URLs and those without ``://`` have an empty host and path and the posterior
-    of the empty host.  Repeated rows and null ids stay, each judged alone.  The
+    of the empty host.  Repeated rows and null ids stay, each judged alone; very long
+    URLs are like others, and other columns don't matter.  The
     hosts' table is written first: its size on disk, not a guess, decides whether
     the join broadcasts it; otherwise both sides are exchanged and a hot host's
     pages can be split.

@@ -383,8 +383,10 @@ def archive_pages(spark: SparkSession, pages: DataFrame, path: str, id_col: str
     Of equal payloads of ``least_bytes`` or more, the row with the smallest page id is
     the response (rows that share that id are all responses; null ids come last);
     others refer to it.  Null html is an empty payload; a null URL leaves out the
-    target URI.  Only digests are grouped, with partial sums; digests that stand once
-    take no part in the join.
+    target URI; other columns don't matter.  A very long payload is one record, held
+    whole by its task.  Without rows the archive has no files and reads as empty.  Only
+    digests are grouped, with partial sums; digests that stand once take no part in the
+    join.
     """
     work = Workspace(spark, "warc")
     read = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
