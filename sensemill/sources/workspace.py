@@ -56,7 +56,13 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
 
 
 #: Bytes of input, as Spark estimates them, for each file of a table between two steps.
-FILE_BYTES = 48 << 20
+FILE_BYTES, MOST_FILES = 48 << 20, 1 << 20
+
+
+def _read_bytes(df: DataFrame) -> int:
+    """Bytes of all tables that a DataFrame reads; what its joins may make of them is no matter."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 class Workspace:
@@ -69,9 +75,8 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str, input: DataFrame | None = None):
         self.spark = spark
         self.files = None
-        if input is not None:
-            size = int(str(input._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-            self.files = max(spark.sparkContext.defaultParallelism, -(-size // FILE_BYTES)) if size < 1 << 60 else None  # unknown
+        if input is not None and (size := _read_bytes(input)) < 1 << 60:  # more stands for unknown
+            self.files = min(max(spark.sparkContext.defaultParallelism, -(-size // FILE_BYTES)), MOST_FILES)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         bound_batches(spark)
         path, fs = self._hadoop(self.root)

@@ -230,3 +230,13 @@ def test_pairs_by_blocks(spark):
     alt = spark.createDataFrame([(i, f"a{i % 4}") for i in range(60)], "obs_id long, alt string")
     pairs = [sorted(map(tuple, D.mismatch_pairs(members, alt, block=n).collect())) for n in (4096, 7)]
     assert pairs[0] == pairs[1] and len(pairs[0]) == sum(i % 2 == j % 2 and i % 4 != j % 4 for i in range(60) for j in range(i))
+
+
+def test_files_follow_what_is_read(spark):
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet").select("p_partkey")
+    one = Workspace(spark, "sized", part).files
+    many = part
+    for i in range(6):
+        many = many.join(part.withColumnRenamed("p_partkey", f"k{i}"), F.col("p_partkey") > F.col(f"k{i}"))
+    assert Workspace(spark, "sized", many).files == one == spark.sparkContext.defaultParallelism
+    assert Workspace(spark, "sized", spark.createDataFrame([(1,)], "a long")).files is None
