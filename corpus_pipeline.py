@@ -2,7 +2,7 @@
 
 Quality classifier, n-gram Jaccard join, benchmark decontamination, personal data,
 mixing to target weights.  Every stage is written as Parquet and read again as the
-next one's documents, in as many files as its input has pieces of some 100 MB.
+next one's documents, in as many files as its input has pieces of some 64 MB.
 """
 
 from __future__ import annotations

@@ -56,7 +56,7 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
 
 
 #: Bytes of input, as Spark estimates them, for each file of a table between two steps.
-FILE_BYTES, MOST_FILES = 96 << 20, 1 << 20
+FILE_BYTES, MOST_FILES = 64 << 20, 1 << 20
 
 
 def _read_bytes(df: DataFrame) -> int:
